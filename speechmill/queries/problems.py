@@ -73,7 +73,7 @@ WITH rows AS (
     FROM (SELECT DISTINCT politician_id, a, b FROM rows) WINDOW w AS (PARTITION BY politician_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY politician_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM islands),
     periods AS (SELECT politician_id, island, min(a) AS a, max(b) AS b FROM numbered GROUP BY ALL),
-    gaps AS (SELECT p.politician_id, p.b + 1 AS a, lead(p.a) OVER (PARTITION BY p.politician_id ORDER BY p.a) - 1 AS b FROM periods p WHERE p.b < DATE '9999-12-31'),
+    gaps AS (SELECT p.politician_id, CAST(p.b + INTERVAL 1 DAY AS DATE) AS a, lead(p.a) OVER (PARTITION BY p.politician_id ORDER BY p.a) - 1 AS b FROM periods p),
     edges AS (SELECT politician_id, a AS day FROM rows UNION SELECT politician_id, CAST(b + INTERVAL 1 DAY AS DATE) FROM rows WHERE b < DATE '9999-12-31' UNION SELECT DISTINCT politician_id, DATE '9999-12-31' FROM rows),
     stretches AS (SELECT politician_id, day AS a, coalesce(CAST(lead(day) OVER (PARTITION BY politician_id ORDER BY day) - INTERVAL 1 DAY AS DATE), DATE '9999-12-31') AS b FROM edges),
     deep AS (
