@@ -23,7 +23,7 @@ _TERMS = """
 WITH latest AS (
     SELECT body FROM (SELECT body, row_number() OVER (PARTITION BY speech_id ORDER BY fetched_at DESC, row_id DESC) AS n FROM speech WHERE speech_id IS NOT NULL) WHERE n = 1),
     found AS (
-    SELECT row_number() OVER () AS record, regexp_extract_all(translate(body, 'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ', 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ'), '[一-鿿々]{2,}|[ァ-ヴー]{2,}|[Ａ-Ｚａ-ｚ０-９]{2,}') AS terms FROM latest),
+    SELECT row_number() OVER () AS record, regexp_extract_all(translate(body, 'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ', 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ'), '[一-鿿々]{{2,}}|[ァ-ヴー]{{2,}}|[Ａ-Ｚａ-ｚ０-９]{{2,}}') AS terms FROM latest),
     flat AS (SELECT record, unnest(terms) AS term FROM found),
     counted AS (SELECT term, count(*) AS occurrences, count(DISTINCT record) AS records FROM flat GROUP BY term)
 SELECT term{counts}, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.1 * (SELECT count(*) FROM latest) THEN 'common' END AS mark FROM counted{only}"""
