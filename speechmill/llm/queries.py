@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .confusables import departures, skeleton_groups
 from .terms import term_frequencies
 
 
@@ -17,7 +18,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_terms(spark, sf_dir).where("mark IS NOT NULL").select("term", "mark")
 
 
-QUERIES = {"p1_terms": p1_terms, "p1_found": p1_found}
+def _values(spark: SparkSession, sf_dir: str, name: str, field: str, rec: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(F.lit(name).alias("tbl"), F.lit(field).alias("field"), F.col(rec).cast("long").alias("rec_id"), F.col(field).cast("string").alias("value"))
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value that departs from the consistent form, in that form."""
+    readings = _values(spark, sf_dir, "speech", "speaker_yomi", "row_id").unionByName(_values(spark, sf_dir, "politician", "name_kana", "id"))
+    return departures(_values(spark, sf_dir, "speech", "body", "row_id"), readings)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_forms(spark, sf_dir).select("tbl", "field", "rec_id").distinct()
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that look the same, grouped by skeleton."""
+    return skeleton_groups(table(spark, sf_dir, "speech"), "speaker_yomi")
+
+
+QUERIES = {"p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
 
 _TERMS = """
 WITH latest AS (
