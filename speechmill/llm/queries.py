@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .confusables import departures, skeleton_groups
+from .contamination import leaked
 from .terms import term_frequencies
 
 
@@ -37,7 +38,21 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton_groups(table(spark, sf_dir, "speech"), "speaker_yomi")
 
 
-QUERIES = {"p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in which document which item's passage stands."""
+    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_passages(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents concerned, with the passages cut out."""
+    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text", clean=True)
+
+
+QUERIES = {"p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
 
 _TERMS = """
 WITH latest AS (
