@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .confusables import departures, skeleton_groups
 from .contamination import leaked
+from .packing import fill, pack
 from .terms import term_frequencies
 
 
@@ -52,7 +53,17 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text", clean=True)
 
 
-QUERIES = {"p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's container and place in it."""
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each container holds."""
+    return fill(p7_containers(spark, sf_dir))
+
+
+QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
 
 _TERMS = """
 WITH latest AS (
