@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .confusables import departures, skeleton_groups
 from .contamination import leaked
+from .linkage import link_speakers
 from .packing import fill, pack
 from .terms import term_frequencies
 
@@ -63,7 +64,17 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(p7_containers(spark, sf_dir))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each member's speech without politician_id with the politician found, also those without wikidata_id."""
+    speech = table(spark, sf_dir, "speech").select("row_id", "date", "speaker", "speaker_yomi", "speaker_group", "speaker_kind", "politician_id")
+    return link_speakers(speech, table(spark, sf_dir, "politician"), table(spark, sf_dir, "affiliation"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).where("wikidata_id IS NOT NULL").select("row_id", "wikidata_id").distinct()
+
+
+QUERIES = {"p4_matches": p4_matches, "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
 
 _TERMS = """
 WITH latest AS (
