@@ -10,6 +10,7 @@ from .confusables import departures, skeleton_groups
 from .contamination import leaked
 from .linkage import link_speakers
 from .packing import fill, pack
+from .pii import personal_information, redact
 from .terms import term_frequencies
 
 
@@ -74,7 +75,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_matches(spark, sf_dir).where("wikidata_id IS NOT NULL").select("row_id", "wikidata_id").distinct()
 
 
-QUERIES = {"p4_matches": p4_matches, "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found, and where in the document it begins."""
+    return personal_information(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_spans(spark, sf_dir).select("doc_id", "pii_kind", "pii_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with placeholders in place of personal information."""
+    return redact(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p9_spans": p9_spans, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_matches": p4_matches, "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
 
 _TERMS = """
 WITH latest AS (
