@@ -20,13 +20,13 @@ def month_of(d: Column) -> Column:
 
 
 def period_year(period: Column) -> Column:
-    return F.substring(period, 1, 4).cast("int")
+    return F.substring(period, 1, 4).try_cast("int")
 
 
 def period_index(period: Column) -> Column:
     """Consecutive numbers for consecutive periods of one rule."""
-    year = F.substring(period, 1, 4).cast("int")
-    return F.when(F.length(period) == 4, year).otherwise(year * 2 + F.substring(period, 6, 1).cast("int") - 1)
+    year = F.substring(period, 1, 4).try_cast("int")
+    return F.when(F.length(period) == 4, year).otherwise(year * 2 + F.substring(period, 6, 1).try_cast("int") - 1)
 
 
 def date_in_issue_id(issue_id: Column) -> Column:

@@ -35,8 +35,8 @@ def bigram_postings(speech: DataFrame, keep: list[str]) -> DataFrame:
     return speech.select(*keep, F.explode(run_bigrams(F.col("body"))).alias("term"))
 
 
-def document_frequency(postings: DataFrame, key: str) -> DataFrame:
-    return postings.groupBy(key).agg(F.count("*").alias("n_speeches"))
+def document_frequency(postings: DataFrame, keys: list[str]) -> DataFrame:
+    return postings.groupBy(*keys).agg(F.count("*").alias("n_speeches"))
 
 
 def write_postings(postings: DataFrame, path: str, key: str) -> None:
