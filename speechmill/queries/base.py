@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.text import ASCII_ALNUM, HIRAGANA, KATAKANA, RUN_PATTERN, WIDE_ALNUM, WIDE_LOWER, WIDE_UPPER
+from ..functions.text import ASCII_ALNUM, BLANKS, HIRAGANA, INVISIBLE, KATAKANA, RUN_PATTERN, SINGLE, VOICED, WIDE_ALNUM, WIDE_LOWER, WIDE_UPPER
 from ..operators.facts import latest_rows, number_in_periods, period_stats
 from ..operators.postings import bigram_postings, document_frequency
 from ..plans.search import population
@@ -57,6 +57,17 @@ def sql_hiragana(c: str) -> str:
     return f"translate({c}, '{KATAKANA}', '{HIRAGANA}')"
 
 
+def sql_name_key(c: str) -> str:
+    """name_key, for DuckDB."""
+    for pair, whole in VOICED.items():
+        c = f"replace({c}, '{pair}', '{whole}')"
+    printable = "".join(map(chr, range(0x21, 0x7F)))
+    blanks = BLANKS.replace("　", "")
+    wide = "".join(chr(ord(x) + 0xFEE0) for x in printable) + "".join(SINGLE.values())
+    said = (printable + "".join(SINGLE) + blanks + INVISIBLE).replace("'", "''")
+    return sql_hiragana(f"regexp_replace(translate({c}, '{said}', '{wide}{'　' * len(blanks)}'), '[\\s　・]', '', 'g')")
+
+
 FACTS = """
 latest AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY speech_id ORDER BY fetched_at DESC, row_id DESC) AS n FROM speech WHERE speech_id IS NOT NULL) WHERE n = 1),
 facts AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY date, issue_id, speech_order, row_id) AS rowid FROM latest),
