@@ -38,17 +38,21 @@ def latest_rows(df: DataFrame, record: str, version: str, tie: str) -> tuple[Dat
     """The latest row of each record with all columns, and the number of records; the last version wins, then the larger ``tie``.
 
     Wide columns never move: only the records that have several rows are looked up, broadcast while they are few, and joined by
-    a shuffle beyond. Rows without a record id drop out.
+    a shuffle beyond. Rows without a record id drop out. Of rows that even share version and tie one is kept.
     """
     named = df.where(F.col(record).isNotNull())
     narrow = named.select(F.col(record).alias("_r"), F.struct(F.col(version).alias("v"), F.col(tie).alias("t")).alias("_v"))
     several = materialize(narrow.groupBy("_r").agg(F.max("_v").alias("_best"), F.count("*").alias("_n")).where("_n > 1"))
     found = several.agg(F.count("*"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()
-    best = several.select("_r", F.col("_best.t").alias("_t"))
-    if small_enough(found[0], 96):
+    best = several.select("_r", "_best")
+    if small_enough(found[0], 128):
         best = F.broadcast(best)
-    rows = named.join(best, named[record] == best["_r"], "left").where(F.col("_r").isNull() | (F.col("_t") == named[tie]))
-    return rows.select(*[named[c] for c in df.columns]), named.count() - found[1]
+    this = F.struct(named[version].alias("v"), named[tie].alias("t"))
+    rows = named.join(best, named[record] == best["_r"], "left").where(F.col("_r").isNull() | F.col("_best").eqNullSafe(this))
+    repeated = narrow.join(best, "_r").where(F.col("_best").eqNullSafe(F.col("_v"))).groupBy("_r").count().where("count > 1")
+    if found[0] and not repeated.isEmpty():
+        rows = rows.where("_r IS NULL").unionByName(rows.where("_r IS NOT NULL").dropDuplicates(["_r"]))
+    return rows.select(*df.columns), named.count() - found[1]
 
 
 def number_rows(df: DataFrame, order: list[str], number: str, partitions: int = 0) -> DataFrame:
