@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import RUN_PATTERN, WIDE_LOWER, WIDE_UPPER
-from ..session import materialize, small_enough
+from ..operators.facts import latest_rows
 from .arrow import map_batches
 
 #: The sample that finds heavy terms holds about so many records, and at most so many terms are heavy.
@@ -39,22 +39,6 @@ def terms_of(text: str | None) -> list[str]:
     return _RUNS.findall(text)
 
 
-def latest_records(df: DataFrame, record: str, version: str, tie: str, keep: list[str]) -> tuple[DataFrame, int]:
-    """The latest row of each record, and the number of records, without moving the wide columns.
-
-    Only records with several rows are looked up; they are broadcast while they are few, joined by a shuffle beyond.
-    """
-    narrow = df.select(F.col(record).alias("_r"), F.struct(F.col(version).alias("v"), F.col(tie).alias("t")).alias("_v")).where("_r IS NOT NULL")
-    several = materialize(narrow.groupBy("_r").agg(F.max("_v").alias("_best"), F.count("*").alias("_n")).where("_n > 1"))
-    extra = several.agg(F.count("*"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()
-    records = df.where(F.col(record).isNotNull()).count() - extra[1]
-    best = several.select("_r", F.col("_best.t").alias("_t"))
-    if small_enough(extra[0], 96):
-        best = F.broadcast(best)
-    rows = df.where(F.col(record).isNotNull()).join(best, df[record] == best["_r"], "left").where(F.col("_r").isNull() | (F.col("_t") == df[tie]))
-    return rows.select(*[df[c] for c in keep]), records
-
-
 def heavy_terms(texts: DataFrame, records: int) -> list[str]:
     share = min(1.0, SAMPLE_RECORDS / max(1, records))
     sample = texts.sample(fraction=share, seed=7) if share < 1 else texts
@@ -112,7 +96,7 @@ def term_frequencies(df: DataFrame, record: str, version: str, tie: str, text: s
     null. Rows without a record id do not count; null or empty texts are records without terms; of equally late rows the
     one with the larger ``tie`` counts. An empty table gives no rows.
     """
-    texts, records = latest_records(df, record, version, tie, [text])
+    texts, records = latest_rows(df, record, version, tie)
     texts = texts.select(F.col(text).cast("string"))
     counted = count_terms(texts, heavy_terms(texts, records))
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * records, "common")
