@@ -27,11 +27,15 @@ def day_text(day: Column) -> Column:
 
 
 def to_words(df: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
-    """(keys, level, word, bits) of the inclusive day ranges first..last."""
-    df = df.select(*keys, F.col(first).alias("_a0"), F.col(last).alias("_b0"))
-    words = []
+    """(keys, level, word, bits) of the inclusive day ranges first..last.
+
+    A level takes the units that the level below leaves whole. Its first and last unit follow from the days alone, so no expression nests in another.
+    """
+    words, before = [], 0
     for level in range(LEVELS):
-        a, b = f"_a{level}", f"_b{level}"
+        a = f"{first}" if level == 0 else f"(shiftright({first} + {before}L, {6 * level}) + 1)"
+        b = f"{last}" if level == 0 else f"(shiftright({last} - {before}L, {6 * level}) - 1)"
+        before += 64**level if level else 0
         wa, wb = f"shiftright({a}, 6)", f"shiftright({b}, 6)"
 
         def word(where: str, at: str, lo: str, hi: str, level: int = level) -> str:
@@ -41,7 +45,6 @@ def to_words(df: DataFrame, keys: list[str], first: str, last: str) -> DataFrame
         words.append(word(f"{a} <= {b} AND {wa} = {wb}", wa, f"({a} & 63L)", f"({b} & 63L)"))
         words.append(word(f"{a} <= {b} AND {wa} < {wb}", wa, f"({a} & 63L)", "63L"))
         words.append(word(f"{a} <= {b} AND {wa} < {wb}", wb, "0L", f"({b} & 63L)"))
-        df = df.withColumns({f"_a{level + 1}": F.expr(f"IF({a} <= {b}, {wa} + 1, 1L)"), f"_b{level + 1}": F.expr(f"IF({a} <= {b}, {wb} - 1, 0L)")})
     return df.select(*keys, F.explode(F.expr(f"filter(array({', '.join(words)}), x -> x IS NOT NULL)")).alias("_w")).select(*keys, "_w.level", "_w.word", "_w.bits")
 
 
