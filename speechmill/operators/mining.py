@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.periods import month_of
 from ..functions.text import CANDIDATE_PATTERN, ngrams, prefixes_and_parts, runs, smoothed_ratio, word_key
+from ..session import materialize, small_enough
 
 # Set phrases of minutes that are no subjects.
 STOPWORDS = (
@@ -67,9 +68,13 @@ def frequencies(speech: DataFrame, meeting: DataFrame, terms: DataFrame) -> Data
 
     Windows are made distinct inside each text before anything moves, and combine by term, month and session before the shuffle.
     """
-    rows = speech.join(meeting.select("issue_id", "session"), "issue_id")
-    cells = rows.select(month_of(F.col("date")).alias("month"), "session", F.explode(windows_of(F.col("body"))).alias("term")).groupBy("term", "month", "session").agg(F.count("*").alias("n"))
-    return cells.join(terms.select("term"), "term", "left_semi")
+    rows = speech.select("issue_id", "date", "body").join(meeting.select("issue_id", "session"), "issue_id")
+    cut = rows.select(month_of(F.col("date")).alias("month"), "session", F.explode(windows_of(F.col("body"))).alias("term"))
+    kept = terms.select("term")
+    if small_enough(kept.count(), 64):
+        # While the pool fits every task, windows outside it end before they are counted.
+        return cut.join(F.broadcast(kept), "term", "left_semi").groupBy("term", "month", "session").agg(F.count("*").alias("n"))
+    return cut.groupBy("term", "month", "session").agg(F.count("*").alias("n")).join(kept, "term", "left_semi")
 
 
 def denominators(speech: DataFrame, meeting: DataFrame) -> DataFrame:
@@ -115,8 +120,6 @@ def frequent_words(speech: DataFrame, meeting: DataFrame, everyone: DataFrame, t
 
     ``speech`` is the indexed population, ``everyone`` gives the names. peak is the first month with the highest share of speeches.
     """
-    from ..session import materialize
-
     standing = materialize(standing_terms(speech))
     cells = materialize(frequencies(speech, meeting, pool(standing, least_standing, least_standing_two)))
     months = {r.month: r.n for r in denominators(speech, meeting).groupBy("month").agg(F.sum("n_speeches").alias("n")).collect()}
@@ -165,8 +168,6 @@ def trend_windows(speech: DataFrame, everyone: DataFrame, days: int = 5, windows
 
     lift compares a term's share of the window's runs with its share of all runs, one added to its count.
     """
-    from ..session import materialize
-
     by_date = materialize(speech.select("date", F.explode(runs(F.col("body"), CANDIDATE_PATTERN)).alias("term")).groupBy("date", "term").agg(F.count("*").alias("n")))
     sittings = by_date.select("date").distinct().withColumn("_r", F.row_number().over(Window.orderBy(F.desc("date"))) - 1).select("date", F.floor(F.col("_r") / days).cast("int").alias("window")).where(F.col("window") < windows)
     spans = sittings.groupBy("window").agg(F.min("date").alias("from_date"), F.max("date").alias("until"), F.count("*").alias("sitting_days"))

@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.periods import month_of, period_index, period_of
+from .facts import number_rows
+
+
+def _neighbours(rows: DataFrame, number: str, value: str) -> DataFrame:
+    """(period, number, value, before): each row with its predecessor's value, by an equi-join of consecutive numbers; no task sorts a period."""
+    before = rows.select(F.col("period").alias("_p"), (F.col(number) + 1).alias("_n"), F.col(value).alias("before"))
+    return rows.join(before, (F.col("period") == F.col("_p")) & (F.col(number) == F.col("_n")), "left").select("period", number, value, "before")
 
 
 def inversions(facts: DataFrame) -> DataFrame:
     """(period, n): rows dated before the row that precedes them."""
-    before = F.lag("date").over(Window.partitionBy("period").orderBy("rowid"))
-    return facts.select("period", "rowid", "date").withColumn("_b", before).where("_b > date").groupBy("period").agg(F.count("*").alias("n"))
+    return _neighbours(facts.select("period", "rowid", "date"), "rowid", "date").where("before > date").groupBy("period").agg(F.count("*").alias("n"))
 
 
 def arrival_inversions(speech: DataFrame) -> DataFrame:
     """(period, n): the same in order of arrival, counted for every period."""
-    before = F.lag("date").over(Window.partitionBy("period").orderBy("row_id"))
-    return speech.select("period", "row_id", "date").withColumn("_b", before).groupBy("period").agg(F.count_if(F.col("_b") > F.col("date")).alias("n"))
+    numbered = number_rows(speech.select("period", "row_id", "date"), ["period", "row_id"], "n")
+    return _neighbours(numbered.select("period", "n", "date"), "n", "date").groupBy("period").agg(F.count_if(F.col("before") > F.col("date")).alias("n"))
 
 
 def month_bounds(facts: DataFrame) -> DataFrame:
@@ -28,9 +34,8 @@ def month_bounds(facts: DataFrame) -> DataFrame:
 
 def bound_mismatches(facts: DataFrame) -> DataFrame:
     """Months whose first row by date is not where the month changes in row order."""
-    by = Window.partitionBy("period").orderBy("rowid")
-    rows = facts.select("period", "rowid", month_of(F.col("date")).alias("month")).withColumn("_b", F.lag("month").over(by))
-    sought = rows.where("_b IS NULL OR _b <> month").select("period", "month", F.col("rowid").alias("first"))
+    rows = _neighbours(facts.select("period", "rowid", month_of(F.col("date")).alias("month")), "rowid", "month")
+    sought = rows.where("before IS NULL OR before <> month").select("period", "month", F.col("rowid").alias("first"))
     return sought.exceptAll(month_bounds(facts)).unionByName(month_bounds(facts).exceptAll(sought))
 
 
