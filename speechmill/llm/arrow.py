@@ -20,3 +20,9 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, struct)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small input spread over all cores. Inputs of at least as many partitions as cores, all large ones, are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import INVISIBLE
 from ..session import materialize
-from .arrow import map_batches
+from .arrow import map_batches, spread
 
 # Characters of one script that look like those of another. Left: prototype.
 KANJI_LIKE = {"カ": "力", "ロ": "口", "ニ": "二", "ハ": "八", "エ": "工", "タ": "夕", "ト": "卜", "オ": "才", "チ": "千", "ミ": "三", "ー": "一", "ノ": "丿", "メ": "乂", "セ": "七", "ヌ": "又", "ム": "厶", "サ": "廾", "ヒ": "匕"}
@@ -147,7 +147,7 @@ def scan(values: DataFrame, reading: bool) -> DataFrame:
                     out[k].append(x)
             yield out
 
-    return map_batches(values.select("tbl", "field", "rec_id", "value"), run, schema)
+    return map_batches(spread(values.select("tbl", "field", "rec_id", "value"), "rec_id"), run, schema)
 
 
 def departures(texts: DataFrame, readings: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches
+from .arrow import map_batches, spread
 
 #: A passage counts from so many consecutive letters and digits of the item.
 LEAST = 70
@@ -221,7 +221,7 @@ def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_i
     least = max(4, (shortest - edits) // (edits + 1))
     schema = "doc_id long, items array<long>, removed int, text string" if clean else "doc_id long, item_id long, first int, last int, item_letters int, share double"
     columns = [x.split()[0] for x in schema.split(", ")]
-    texts = docs.select(F.col(doc_id).cast("long"), F.col(doc_text).cast("string"))
+    texts = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text")), "doc_id")
     out = None
     for block in item_blocks(items, item_id, item_text, shortest):
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, small_enough
-from .arrow import map_batches
+from .arrow import map_batches, spread
 
 #: Vocabulary whose tokens are counted; any file that sentencepiece or tokenizers reads.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -94,8 +94,8 @@ def pack(docs: DataFrame, doc_id: str, doc_text: str, tokenizer: str = TOKENIZER
         yield {"doc_id": none, "piece": none, "first_token": none, "n_tokens": none, "window": [w for _, w in left], "seat": none, "filled": [capacity - room for room, _ in left]}
 
     schema = "doc_id long, piece int, first_token int, n_tokens int, window long, seat int, filled int"
-    texts = docs.select(F.col(doc_id).cast("long"), F.col(doc_text).cast("string").alias("_text")).where("_text IS NOT NULL")
-    placed = materialize(map_batches(texts, place, schema))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("_text")).where("_text IS NOT NULL")
+    placed = materialize(map_batches(spread(texts, "doc_id"), place, schema))
     left = placed.where("filled IS NOT NULL").select("window", "filled")
     n = left.count()
 
@@ -112,8 +112,8 @@ def pack(docs: DataFrame, doc_id: str, doc_text: str, tokenizer: str = TOKENIZER
                 out["shift"].append(seat)
             yield out
 
-    spread = left.repartition(max(1, -(-n // MERGE_WINDOWS)), "window").sortWithinPartitions(F.desc("filled"), "window")
-    moved = map_batches(spread, merge, "window long, into long, shift int")
+    shuffled = left.repartition(max(1, -(-n // MERGE_WINDOWS)), "window").sortWithinPartitions(F.desc("filled"), "window")
+    moved = map_batches(shuffled, merge, "window long, into long, shift int")
     if small_enough(n, 32):
         moved = F.broadcast(moved)
     items = placed.where("filled IS NULL").join(moved, "window", "left")

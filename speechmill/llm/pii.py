@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches
+from .arrow import map_batches, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "［メール］", "phone": "［電話番号］", "id_number": "［番号］", "address": "［住所］", "name": "［氏名］"}
@@ -263,7 +263,7 @@ def personal_information(docs: DataFrame, doc_id: str, doc_text: str) -> DataFra
             rows = [(doc, k, text[s:e], s) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s, e, k in find(text)]
             yield {c: [r[i] for r in rows] for i, c in enumerate(("doc_id", "pii_kind", "pii_text", "first"))}
 
-    return map_batches(docs.select(F.col(doc_id).cast("long"), F.col(doc_text).cast("string")), run, "doc_id long, pii_kind string, pii_text string, first int")
+    return map_batches(spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text")), "doc_id"), run, "doc_id long, pii_kind string, pii_text string, first int")
 
 
 def redact(docs: DataFrame, doc_id: str, doc_text: str) -> DataFrame:
@@ -275,4 +275,4 @@ def redact(docs: DataFrame, doc_id: str, doc_text: str) -> DataFrame:
             found = [find(t) for t in texts]
             yield {"doc_id": docs_, "text": [redacted(t, f) for t, f in zip(texts, found)], "replaced": [len(f) for f in found]}
 
-    return map_batches(docs.select(F.col(doc_id).cast("long"), F.col(doc_text).cast("string")), run, "doc_id long, text string, replaced int")
+    return map_batches(spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text")), "doc_id"), run, "doc_id long, text string, replaced int")

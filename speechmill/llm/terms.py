@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import RUN_PATTERN, WIDE_LOWER, WIDE_UPPER
 from ..operators.facts import latest_rows
-from .arrow import map_batches
+from .arrow import map_batches, spread
 
 #: The sample that finds heavy terms holds about so many records, and at most so many terms are heavy.
 SAMPLE_RECORDS = 20_000
@@ -97,7 +97,8 @@ def term_frequencies(df: DataFrame, record: str, version: str, tie: str, text: s
     one with the larger ``tie`` counts. An empty table gives no rows.
     """
     texts, records = latest_rows(df, record, version, tie)
-    texts = texts.select(F.col(text).cast("string"))
-    counted = count_terms(texts, heavy_terms(texts, records))
+    texts = spread(texts.select(F.col(text).cast("string"), F.col(tie).alias("_t")), "_t").select(text)
+    # Any rows will do for the sample, repeated ones too.
+    counted = count_terms(texts, heavy_terms(df.select(F.col(text).cast("string")), records))
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * records, "common")
     return counted.withColumn("mark", mark)
