@@ -47,3 +47,28 @@ def write_postings(postings: DataFrame, path: str, key: str) -> None:
 def overlapping_forms(topics: list[dict]) -> list[tuple[int, str, str]]:
     """(topic, form, longer form) where one form of a topic lies inside another and is therefore counted twice."""
     return [(t["id"], a, b) for t in topics for forms in [[t["term"], *(t.get("variants") or [])]] for a in forms for b in forms if a != b and a in b]
+
+
+def topic_problems(topics: list[dict], retired: list[int] = ()) -> list[tuple[int, str]]:
+    """(id, problem) of a hand-written list: ids used twice or again, forms held by two topics, forms inside one another, and terms no path finds."""
+    from ..plans.query_text import to_full_width, unsearchable_terms
+
+    found, ids, forms = [], set(), {}
+    for t in topics:
+        if t["id"] in ids:
+            found.append((t["id"], "id used twice"))
+        if t["id"] in retired:
+            found.append((t["id"], "id was retired"))
+        ids.add(t["id"])
+        for f in [t["term"], *(t.get("variants") or [])]:
+            if forms.setdefault(f, t["id"]) != t["id"]:
+                found.append((t["id"], f"{f} also in {forms[f]}"))
+        if unsearchable_terms([to_full_width(t["term"])]):
+            found.append((t["id"], "term can't be searched"))
+    return found + [(i, f"{a} lies inside {b}") for i, a, b in overlapping_forms(topics)]
+
+
+def topic_changes(old: list[dict], new: list[dict]) -> dict[str, list[int]]:
+    """Ids added, removed, and changed in term or variants between two lists."""
+    a, b = ({t["id"]: (t["term"], tuple(t.get("variants") or [])) for t in ts} for ts in (old, new))
+    return {"added": sorted(b.keys() - a.keys()), "removed": sorted(a.keys() - b.keys()), "changed": sorted(i for i in a.keys() & b.keys() if a[i] != b[i])}

@@ -73,6 +73,27 @@ def frequent_words(spark, sf_dir):
     return words.withColumn("burst", F.round("burst", 6))
 
 
+def word_years(spark, sf_dir):
+    """Frequent words by the year of their peak, latest year first, as an index lists them."""
+    words = M.frequent_words(members(spark, sf_dir), meetings(spark, sf_dir), facts(spark, sf_dir), top=50, least=20, least_standing=10, least_standing_two=5, denied=DENIED)
+    return words.groupBy(F.substring("peak", 1, 4).alias("year")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms")).orderBy(F.desc("year"))
+
+
+def month_axis(spark, sf_dir):
+    """Months that a chart needs: those with speeches and those with hits, inside the years asked for."""
+    speeches = members(spark, sf_dir).select(month_of(F.col("date")).alias("month"))
+    hits = _topic_cells(spark, sf_dir).where("topic_id = 3").select("month")
+    return speeches.union(hits).distinct().where("month BETWEEN '2022-01' AND '2024-12'").orderBy("month")
+
+
+def month_starts(spark, sf_dir):
+    """The first row id of every month of a period's calendar; months without a speech have the largest number there is."""
+    from ..operators.quality import month_bounds
+
+    wanted = stats(spark, sf_dir).select("period", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.substring("period", 1, 4), F.lit("-"), F.lpad((i + F.when(F.endswith("period", F.lit("2")), 6).otherwise(0)).cast("string"), 2, "0")))).alias("month"))
+    return wanted.join(month_bounds(facts(spark, sf_dir)), ["period", "month"], "left").select("period", "month", F.coalesce("first", F.lit((1 << 53) - 1)).alias("first"))
+
+
 def word_sessions(spark, sf_dir):
     words = _totals(spark, sf_dir).orderBy(F.desc("n"), "term").limit(30)
     return M.session_counts(_cells(spark, sf_dir), words)
@@ -333,7 +354,7 @@ def fold_bindings(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    standing_terms, pool_frequencies, mining_denominators, term_fragments, near_duplicate_terms, kept_terms, burst_terms, frequent_words, word_sessions, proposals, proposal_lists, trend_windows, trend_new_terms, topic_candidates,
+    standing_terms, pool_frequencies, mining_denominators, term_fragments, near_duplicate_terms, kept_terms, burst_terms, frequent_words, word_years, month_axis, month_starts, word_sessions, proposals, proposal_lists, trend_windows, trend_new_terms, topic_candidates,
     topic_cells, speech_totals, kept_groups, topic_totals, meeting_totals, topic_series, topic_rates, group_rates, topic_stacks, peak_months, sessions, session_lift, activity, activity_top, activity_series, activity_year, corpus_totals,
     units, speaker_stats, entity_match, entity_report, entity_people, entity_ledger, entity_parties, entity_unresolved, override_recount, override_lost, affiliation_on_date, current_affiliation, group_timeline, name_search, name_filter, name_find, typed_sort, blank_sort, distinct_speakers, group_set_operations, fold_bindings,
 )}
@@ -420,6 +441,12 @@ ORACLES = {
         head AS (SELECT * FROM eligible ORDER BY burst DESC, term LIMIT 150), words AS (SELECT * FROM head a WHERE NOT EXISTS (SELECT 1 FROM head b WHERE length(b.term) > length(a.term) AND contains(b.term, a.term) AND b.n >= a.n * 0.75) ORDER BY burst DESC, term LIMIT 50),
         months AS (SELECT strftime(m.date, '%Y-%m') AS month, CAST(count(*) AS DOUBLE) AS v FROM members m JOIN meeting g ON g.issue_id = m.issue_id GROUP BY 1), monthly AS (SELECT term, month, sum(n) AS k FROM cells GROUP BY ALL)
         SELECT w.term, w.n, round(w.burst, 6) AS burst, (SELECT first(m.month ORDER BY m.k / v.v DESC, m.month) FROM monthly m JOIN months v ON v.month = m.month WHERE m.term = w.term) AS peak FROM words w""", *_MINING, _PARTS, _ROLES, _BURST),
+    "word_years": with_facts(f""", eligible AS (SELECT term, n, burst FROM profile WHERE n >= 20 AND {_NOISE} AND term IN {_keep('totals')} AND term NOT IN (SELECT t.term FROM totals t LEFT JOIN standing s ON s.term = t.term WHERE length(t.term) = 2 AND t.term >= 'Ａ' AND coalesce(s.standalone, 0) / t.n < 0.5)),
+        head AS (SELECT * FROM eligible ORDER BY burst DESC, term LIMIT 150), words AS (SELECT * FROM head a WHERE NOT EXISTS (SELECT 1 FROM head b WHERE length(b.term) > length(a.term) AND contains(b.term, a.term) AND b.n >= a.n * 0.75) ORDER BY burst DESC, term LIMIT 50),
+        months AS (SELECT strftime(m.date, '%Y-%m') AS month, CAST(count(*) AS DOUBLE) AS v FROM members m JOIN meeting g ON g.issue_id = m.issue_id GROUP BY 1), monthly AS (SELECT term, month, sum(n) AS k FROM cells GROUP BY ALL)
+        SELECT substr(peak, 1, 4) AS year, count(*) AS n, string_agg(term, ',' ORDER BY term) AS terms FROM (SELECT w.term, (SELECT first(m.month ORDER BY m.k / v.v DESC, m.month) FROM monthly m JOIN months v ON v.month = m.month WHERE m.term = w.term) AS peak FROM words w) GROUP BY 1""", *_MINING, _PARTS, _ROLES, _BURST),
+    "month_axis": with_facts(" SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM members WHERE date BETWEEN DATE '2022-01-01' AND DATE '2024-12-31'"),
+    "month_starts": with_facts(", p AS (SELECT DISTINCT period FROM facts), c AS (SELECT period, substr(period, 1, 4) || '-' || lpad(CAST(i + CASE WHEN ends_with(period, '2') THEN 6 ELSE 0 END AS VARCHAR), 2, '0') AS month FROM p, (SELECT unnest(range(1, 7)) AS i)) SELECT c.period, c.month, coalesce((SELECT min(rowid) FROM facts f WHERE f.period = c.period AND strftime(f.date, '%Y-%m') = c.month), 9007199254740991) AS first FROM c"),
     "word_sessions": with_facts(" SELECT term, session, CAST(sum(n) AS BIGINT) AS hits FROM cells WHERE term IN (SELECT term FROM totals ORDER BY n DESC, term LIMIT 30) GROUP BY ALL", *_MINING),
     "proposals": with_facts(" SELECT term, n, round(burst, 6) AS burst, round(recency, 6) AS recency, peak_year, peak_n, peak_n >= 8 AS burstable FROM picked", *_PROPOSE),
     "proposal_lists": with_facts(""" SELECT * FROM (

@@ -34,3 +34,12 @@ def test_profile(spark):
 def test_small_functions(spark):
     row = spark.range(1).select(X.rate(F.lit(5), F.lit(0)).alias("zero"), X.rate(F.lit(5), F.lit(1000)).alias("five"), X.json_script(F.lit('{"a":"</b>"}')).alias("j"), X.fingerprint(F.array(F.lit("a"), F.lit("b"))).alias("fp")).first()
     assert (row.zero, row.five, row.j) == (0.0, 5.0, '{"a":"\\u003c/b>"}') and len(row.fp) == 16
+
+
+def test_topic_lists():
+    from speechmill.operators.postings import overlapping_forms, topic_changes, topic_problems
+
+    topics = [{"id": 1, "term": "年金", "variants": ["年金制度"]}, {"id": 2, "term": "お金", "variants": ["年金"]}, {"id": 2, "term": "道路"}, {"id": 9, "term": "鉄道"}]
+    assert topic_problems(topics, [9]) == [(2, "年金 also in 1"), (2, "term can't be searched"), (2, "id used twice"), (9, "id was retired"), (1, "年金 lies inside 年金制度")]
+    assert overlapping_forms(topics[2:]) == []
+    assert topic_changes(topics[:2], [topics[0], {"id": 2, "term": "現金"}, topics[3]]) == {"added": [9], "removed": [], "changed": [2]}
