@@ -40,5 +40,5 @@ def drop_empty(cells: DataFrame, keys: list[str], value: str, year: str | None =
 def corpus_totals(speech: DataFrame, stats: DataFrame) -> DataFrame:
     """People, their speeches, the largest period and the end of coverage."""
     people = speech.where("politician_id IS NOT NULL").agg(F.count_distinct("politician_id").alias("people"), F.count("*").alias("speeches"))
-    largest = stats.agg(F.max_by("period", F.struct("speeches", "period")).alias("largest_period"), F.max("last_date").alias("until"))
-    return people.crossJoin(F.broadcast(largest))
+    largest = stats.agg(F.max_by("period", F.struct("speeches", "period")).alias("p"), F.max("last_date").alias("d")).first()
+    return people.withColumns({"largest_period": F.lit(largest.p).cast("string"), "until": F.lit(largest.d).cast("date")})

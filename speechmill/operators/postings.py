@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences, run_bigrams
+from ..plans.query_text import to_full_width, unsearchable_terms
 from ..schemas import TOPIC
 
 
@@ -25,7 +26,7 @@ def topic_postings(speech: DataFrame, topics: list[dict], keep: list[str]) -> Da
         n = sum((occurrences(F.col("body"), F.lit(f)) for f in forms[1:]), occurrences(F.col("body"), F.lit(forms[0])))
         cells.append(F.struct(F.lit(t["id"]).alias("topic_id"), n.alias("n")))
     if not cells:
-        return speech.sparkSession.createDataFrame([], "topic_id int, n long").crossJoin(speech.select(*keep).limit(0))
+        return speech.where(F.lit(False)).select(F.lit(0).alias("topic_id"), *keep, F.lit(0).cast("long").alias("n"))
     hits = F.filter(F.array(*cells), lambda x: x["n"] > 0)
     return speech.select(*keep, F.explode(hits).alias("_h")).select("_h.topic_id", *keep, "_h.n")
 
@@ -51,8 +52,6 @@ def overlapping_forms(topics: list[dict]) -> list[tuple[int, str, str]]:
 
 def topic_problems(topics: list[dict], retired: list[int] = ()) -> list[tuple[int, str]]:
     """(id, problem) of a hand-written list: ids used twice or again, forms held by two topics, forms inside one another, and terms no path finds."""
-    from ..plans.query_text import to_full_width, unsearchable_terms
-
     found, ids, forms = [], set(), {}
     for t in topics:
         if t["id"] in ids:

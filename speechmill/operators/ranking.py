@@ -84,9 +84,8 @@ def yearly_volume(speech: DataFrame, per_request: int = 100, seconds: float = 3.
 
 def next_ids(current: DataFrame, held: DataFrame) -> DataFrame:
     """(next_id, retired): the id after all current and retired ones, and the ids held somewhere that are no longer listed."""
-    gone = held.select("id").distinct().join(current.select("id"), "id", "left_anti")
-    both = current.select("id").unionByName(held.select("id")).agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
-    return both.crossJoin(F.broadcast(gone.agg(F.array_sort(F.collect_list("id")).alias("retired"))))
+    ids = current.select("id", F.lit(True).alias("now")).unionByName(held.select("id", F.lit(False).alias("now"))).groupBy("id").agg(F.bool_or("now").alias("now"))
+    return ids.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"), F.array_sort(F.collect_list(F.when(~F.col("now"), F.col("id")))).alias("retired"))
 
 
 def span_text(first: Column, last: Column) -> Column:

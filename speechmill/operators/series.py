@@ -95,9 +95,10 @@ def bar_shares(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def trend_mode(monthly: DataFrame, totals: DataFrame) -> DataFrame:
     """Months of hits with their denominators; ``rate`` only if every month with hits has one."""
     both = monthly.join(totals, "month", "left")
-    usable = both.agg(F.bool_and(F.coalesce(F.col("total") > 0, F.lit(False)) | (F.col("n") == 0)).alias("_usable"))
+    # One row a month: the calendar bounds the window over all of them.
+    usable = F.bool_and(F.coalesce(F.col("total") > 0, F.lit(False)) | (F.col("n") == 0)).over(Window.partitionBy())
     mode = F.when(F.col("_usable"), "rate").otherwise("count")
-    return both.crossJoin(F.broadcast(usable)).select("month", "n", "total", mode.alias("mode"), F.when(F.col("_usable") & (F.col("total") > 0), rate(F.col("n"), F.col("total"))).alias("rate"))
+    return both.withColumn("_usable", usable).select("month", "n", "total", mode.alias("mode"), F.when(F.col("_usable") & (F.col("total") > 0), rate(F.col("n"), F.col("total"))).alias("rate"))
 
 
 def session_lift(hits: DataFrame, sessions: DataFrame, words: DataFrame, total: int, least: int = 30) -> DataFrame:

@@ -8,9 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.periods import month_of
+from ..functions.periods import month_of, period_of_speech_id
 from ..functions.text import marked_snippet, run_bigrams, snippet
-from ..operators.postings import topic_postings
 from ..schemas import MEMBER
 from .query_text import Plan, canonical_query, match_topic, probe_keys, split_terms, unsearchable_terms, word_plan
 
@@ -119,8 +118,6 @@ def timeline(speech: DataFrame, politician: int, options: Options) -> DataFrame:
 
 def speech_detail(speech: DataFrame, speech_id: str) -> DataFrame:
     """A speech by its id; the date inside the id prunes to one period."""
-    from ..functions.periods import period_of_speech_id
-
     where = F.col("speech_id") == speech_id
     return speech.where(where & (F.col("period") == F.coalesce(period_of_speech_id(F.lit(speech_id)), F.col("period"))))
 
@@ -194,4 +191,4 @@ def search_bundle(text: str, speech: DataFrame, meeting: DataFrame, bigram_df: D
     return {"query": shown, "unsearchable": impossible, "plan": plan, "rows": result_rows(page(found, options), meeting, plan, topics), "count": count(found), "months": months(found)}
 
 
-__all__ = ["Options", "Page", "context", "count", "count_by_period", "hits", "meeting_names", "merge_cursors", "months", "page", "plan_predicate", "population", "resolve_plan", "result_rows", "search_bundle", "search_page", "speech_detail", "timeline", "topic_postings"]
+__all__ = ["Options", "Page", "context", "count", "count_by_period", "hits", "meeting_names", "merge_cursors", "months", "page", "plan_predicate", "population", "resolve_plan", "result_rows", "search_bundle", "search_page", "speech_detail", "timeline"]

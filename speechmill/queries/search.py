@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.periods import month_of, periods_in_years
+from ..functions.periods import periods_in_years
 from ..operators import quality as Q
 from ..operators.postings import bigram_postings, document_frequency, topic_postings, topic_table
 from ..operators.series import speech_totals, trend_mode
@@ -15,7 +16,6 @@ from ..plans.query_text import Plan, split_terms, word_plan
 from ..session import table
 from .base import FACTS, HITS, TOPICS, bigram_df, facts, meetings, members, sql_fold, stats, with_facts
 
-MEETING = "経済産業委員会"
 FTS = Plan("fts", terms=tuple(split_terms("老朽化 データ")))
 SDGS = Plan("fts", terms=tuple(split_terms("sdgs")))
 WORD = Plan("word", driver="年金", filters=("データ",))
@@ -104,8 +104,6 @@ def speech_context(spark, sf_dir):
 
 def context_frames(spark, sf_dir):
     """For every speech the number of speeches up to three before and after it in its meeting, as a range frame."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("issue_id").orderBy("speech_order").rangeBetween(-3, 3)
     return facts(spark, sf_dir).select("period", "rowid", (F.count("*").over(w) - 1).alias("near"))
 
@@ -193,7 +191,8 @@ def check_faults(spark, sf_dir):
 
 def topics_indexed(spark, sf_dir):
     listed = topic_table(spark, TOPICS).select("id", F.substring(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "term", F.array_join("variants", ",")), 256), 1, 16).alias("fp"))
-    parts = stats(spark, sf_dir).select("period").crossJoin(F.broadcast(listed)).where("NOT (period = '2023H1' AND id = 5)").withColumn("fp", F.when((F.col("period") == "2022H2") & (F.col("id") == 6), "old").otherwise(F.col("fp")))
+    prints = F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.fp).alias("fp")) for r in listed.collect()])
+    parts = stats(spark, sf_dir).select("period", F.explode(prints).alias("_t")).select("period", "_t.id", "_t.fp").where("NOT (period = '2023H1' AND id = 5)").withColumn("fp", F.when((F.col("period") == "2022H2") & (F.col("id") == 6), "old").otherwise(F.col("fp")))
     return Q.indexed_topics(listed, parts.groupBy("period", "fp").agg(F.collect_list("id").alias("ids")))
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import periods as P
 from ..functions import text as X
 from ..operators import facts as FA
 from ..operators import ranking as R
-from ..session import table
+from ..schemas import SPEECH_COLUMNS
+from ..session import shared_folder, table
+from ..streaming.ingest import start_ingest
 from .base import FACTS, facts, meetings, members, sql_fold, sql_hiragana, sql_wide, stats, with_facts
 
 
@@ -72,8 +77,6 @@ def period_months(spark, sf_dir):
 
 
 def period_gaps(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     place = P.period_index(F.col("period"))
     return stats(spark, sf_dir).where("period NOT IN ('2022H2', '2024H1')").select("period", (place - F.lag(place).over(Window.orderBy("period"))).alias("step")).where("step > 1")
 
@@ -124,14 +127,7 @@ def report_next_ids(spark, sf_dir):
 
 def stream_ingest(spark, sf_dir):
     """Speeches as raw files through the incremental ingest: what each period holds afterwards."""
-    from ..session import shared_folder
-    from ..streaming.ingest import start_ingest
-
-    s, m = table(spark, sf_dir, "speech"), meetings(spark, sf_dir)
-    import uuid
-
-    from ..schemas import SPEECH_COLUMNS
-
+    s = table(spark, sf_dir, "speech")
     base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     raw = s.where("speech_id IS NOT NULL").select(*[(F.date_format(n, "yyyy-MM-dd") if n == "date" else F.col(n)).alias(c) for c, n in SPEECH_COLUMNS.items()], F.col("fetched_at"), F.col("row_id"))
     # One file in order of fetching, so that positions tell versions apart as they do at the source.
@@ -149,7 +145,6 @@ def stream_ingest(spark, sf_dir):
             if status.getPath().getName().endswith(".json"):
                 fs.rename(status.getPath(), hadoop.Path(f"{base}/in/{part}-{k:03d}.ndjson"))
         start_ingest(spark, f"{base}/in", f"{base}/table", f"{base}/checkpoint").awaitTermination()
-    del m
     return spark.read.parquet(f"{base}/table").groupBy("period").agg(F.count("*").alias("speeches"), F.sum(F.length("body")).alias("letters"))
 
 
