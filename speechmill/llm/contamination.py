@@ -72,6 +72,8 @@ class Automaton:
         for v in range(1, len(self.next)):
             self.children[self.link[v]].append(v)
         self._all: dict[int, list[tuple[int, int]]] = {}
+        self.half = max(1, least // 2)
+        self.grams = {text[i : i + self.half] for _, text in items for i in range(len(text) - self.half + 1)}
 
     def _state(self, length: int, link: int, following: dict[str, int]) -> int:
         self.next.append(following)
@@ -114,31 +116,48 @@ class Automaton:
         return self._all[state]
 
     def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(end, length, state) of the maximal matches of ``least`` or more while the text streams through."""
-        following, link, length, least = self.next, self.link, self.length, self.least
-        found, state, n = [], 0, 0
-        here = following[0]
-        for i, c in enumerate(text):
-            to = here.get(c)
-            if to is None:
-                if n >= least:
-                    found.append((i, n, state))
-                while state:
-                    state = link[state]
-                    to = following[state].get(c)
-                    if to is not None:
-                        n = length[state] + 1
-                        break
+        """(end, length, state) of the maximal matches of ``least`` or more while the text streams through.
+
+        Such a match holds one of the grams of ``half`` letters that begin at every ``step``-th place. Where that gram is in no item, nothing can
+        be missed, so letters go through the automaton only from shortly before a known gram to where no match of ``half`` is left.
+        """
+        following, link, length, least, half, grams = self.next, self.link, self.length, self.least, self.half, self.grams
+        step = least - half + 1
+        found, size, p, last = [], len(text), 0, -1
+        while p + half <= size:
+            if text[p : p + half] not in grams:
+                p += step
+                continue
+            i, sure = max(0, p - step + 1), p + half
+            state, n, here = 0, 0, following[0]
+            while i < size:
+                c = text[i]
+                to = here.get(c)
+                if to is not None:
+                    n += 1
                 else:
+                    if n >= least and i > last:
+                        found.append((i, n, state))
+                        last = i
+                    to = 0
                     n = 0
-                    here = following[0]
-                    continue
+                    while state:
+                        state = link[state]
+                        known = following[state].get(c)
+                        if known is not None:
+                            n = length[state] + 1
+                            to = known
+                            break
+                state = to
+                here = following[to]
+                i += 1
+                if n < half and i >= sure:
+                    break
             else:
-                n += 1
-            state = to
-            here = following[to]
-        if n >= least:
-            found.append((len(text), n, state))
+                if n >= least and size > last:
+                    found.append((size, n, state))
+                    last = size
+            p = max(p + step, -(-(i - n) // step) * step)
         return found
 
     def passages(self, text: str, shortest: int, every: int) -> list[tuple[int, int, int, int, int]]:
