@@ -18,6 +18,8 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 CAPACITY = 2_048
 #: Windows that a task keeps open.
 OPEN_WINDOWS = 64
+#: Texts tokenized in one call.
+AT_ONCE = 128
 #: Leftover windows that one task merges.
 MERGE_WINDOWS = 8_192
 
@@ -31,13 +33,15 @@ def token_counter(path: str):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _COUNTERS[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+            encode = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
             from tokenizers import Tokenizer
 
             words = Tokenizer.from_file(path)
             words.encode_special_tokens = True
-            _COUNTERS[path] = lambda texts: [len(x.ids) for x in words.encode_batch(texts, add_special_tokens=False)]
+            encode = lambda texts: [len(x.ids) for x in words.encode_batch(texts, add_special_tokens=False)]
+        # A few texts at a time: only the numbers stay, not the tokens of a whole batch.
+        _COUNTERS[path] = lambda texts: [n for i in range(0, len(texts), AT_ONCE) for n in encode(texts[i : i + AT_ONCE])]
     return _COUNTERS[path]
 
 
