@@ -28,8 +28,6 @@ TITLES = re.compile("(?:君|議員|委員|氏|さん|くん|先生|[（(][^）)]
 #: A match is given from this confidence on, and only so far ahead of the next candidate.
 LEAST_CONFIDENCE = 0.62
 LEAST_LEAD = 0.04
-#: An attribute shared by more people joins nobody.
-MOST_SHARED = 64
 #: Rounds of propagation, if the matches do not become stable before.
 ROUNDS = 4
 
@@ -170,8 +168,7 @@ def likeness(speaker: str | None, reading: str | None, name: str | None, reading
 def candidate_graph(units: DataFrame, people: DataFrame) -> DataFrame:
     """(unit, person, weight): edges by shared attributes, weighted by rarity and pruned to those above their unit's mean.
 
-    Attributes that more than MOST_SHARED people share are left out. Only bare family names are so common; among so many people of one
-    family name a bare name gives no match in any case, and every better one shares a rarer attribute too.
+    No attribute is too common: a bare family name may still be told by the group on the day, however many bear it.
     """
 
     def unit_attributes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -186,8 +183,7 @@ def candidate_graph(units: DataFrame, people: DataFrame) -> DataFrame:
 
     left = map_batches(units.select("unit", "speaker", "reading"), unit_attributes, "unit long, key string")
     right = map_batches(people.select("person", "name", "readings"), person_attributes, "person long, key string")
-    rare = right.groupBy("key").agg(F.count("*").alias("n")).where(f"n <= {MOST_SHARED}")
-    right = right.join(rare, "key")
+    right = right.join(right.groupBy("key").agg(F.count("*").alias("n")), "key")
     total = F.lit(float(max(2, people.count())))
     shared = left.join(right, "key").groupBy("unit", "person").agg(F.sum(F.log(total / F.col("n")) + 0.1).alias("weight"))
     mean = F.avg("weight").over(Window.partitionBy("unit"))

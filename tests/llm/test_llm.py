@@ -81,6 +81,17 @@ def test_linkage(spark):
     assert K.link_speakers(speech, politician.limit(0), affiliation.limit(0)).count() == 0
 
 
+def test_a_family_name_of_many_is_told_by_the_group(spark):
+    day = dt.date(2024, 5, 1)
+    given = [a + b for a in "一二三四五六七八九十" for b in "郎助蔵雄夫平吉"]
+    politician = spark.createDataFrame([(i, "芹沢" + g, None, f"Q{i}") for i, g in enumerate(given)], "id int, name string, name_kana string, wikidata_id string")
+    affiliation = spark.createDataFrame([(i, "青雲党" if i == 7 else "緑風会議", dt.date(2020, 1, 1), None) for i in range(len(given))], "politician_id int, kaiha string, start_date date, end_date date")
+    rows = [(1, day, "芹沢", None, "青雲党", "議員", None), (2, day, "芹沢", None, "緑風会議", "議員", None), (3, day, "芹沢", None, None, "議員", None)]
+    speech = spark.createDataFrame(rows, "row_id long, date date, speaker string, speaker_yomi string, speaker_group string, speaker_kind string, politician_id int")
+    got = K.link_speakers(speech, politician, affiliation).collect()
+    assert len(given) > 64 and [(r.row_id, r.politician_id) for r in got] == [(1, 7)]
+
+
 # --- Problem 5
 
 
