@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,6 +73,7 @@ class Automaton:
         for v in range(1, len(self.next)):
             self.children[self.link[v]].append(v)
         self._all: dict[int, list[tuple[int, int]]] = {}
+        self.repeated = self._repeated(items)
         self.half = max(1, least // 2)
         self.grams = {text[i : i + self.half] for _, text in items for i in range(len(text) - self.half + 1)}
 
@@ -104,6 +106,26 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
         return new
 
+    def _repeated(self, items: list[tuple[int, str]]) -> dict[int, tuple[list[int], list[int]]]:
+        """For each item the ends of its grams of ``least`` letters that stand elsewhere in the items too, and the states of these grams."""
+        gram, count = list(range(len(self.next))), [len(e) for e in self.ends]
+        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        for v in order:
+            if self.length[self.link[v]] >= self.least:
+                gram[v] = gram[self.link[v]]
+        for v in reversed(order):
+            count[self.link[v]] += count[v]
+        out = {}
+        for item, text in items:
+            state, ends, states = 0, [], []
+            for end, c in enumerate(text, 1):
+                state = self.next[state][c]
+                if end >= self.least and count[gram[state]] > 1:
+                    ends.append(end)
+                    states.append(gram[state])
+            out[item] = ends, states
+        return out
+
     def occurrences(self, state: int) -> list[tuple[int, int]]:
         """(item, end) of the strings of a state."""
         if state not in self._all:
@@ -160,20 +182,46 @@ class Automaton:
             p = max(p + step, -(-(i - n) // step) * step)
         return found
 
+    def pieces(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, end, item end) of the longest equal pieces of ``least`` or more letters of the text and any place of any item.
+
+        All lie within the maximal matches. What other items hold of a match are the repeated grams of the item it was found in.
+        """
+        done: dict[tuple[int, int], int] = {}
+        for end, n, state in self.matches(text):
+            here = self.occurrences(state)
+            for item, item_end in here:
+                done[item, end - item_end] = end
+                yield item, end - n, end, item_end
+            item, item_end = here[0]
+            ends, states = self.repeated[item]
+            for k in range(bisect_left(ends, item_end - n + self.least), bisect_right(ends, item_end)):
+                b = end - item_end + ends[k]
+                for other, d in self.occurrences(states[k]):
+                    if done.get((other, b - d), -1) >= b:
+                        continue
+                    whole, first, last, place = self.items[other], b - self.least, b, d
+                    while first > 0 and first - b + d > 0 and text[first - 1] == whole[first - 1 - b + d]:
+                        first -= 1
+                    while last < len(text) and place < len(whole) and text[last] == whole[place]:
+                        last += 1
+                        place += 1
+                    done[other, b - d] = last
+                    yield other, first, last, place
+
     def passages(self, text: str, shortest: int, every: int) -> list[tuple[int, int, int, int, int]]:
         """(item, start, end, item start, item end) of the passages of ``shortest`` letters of an item, edits allowed."""
         out: dict[int, list[tuple[int, int, int, int]]] = {}
-        for end, n, state in self.matches(text):
-            for item, item_end in self.occurrences(state):
-                spans = out.setdefault(item, [])
-                if any(a <= end - n and end <= b and item_end <= d for a, b, _, d in spans):
-                    continue
-                whole = self.items[item]
-                right, item_right, edits = _stretch(text, whole, end, item_end, 1)
-                left, item_left, more = _stretch(text, whole, end - n - 1, item_end - n - 1, -1)
-                left, item_left = left + 1, item_left + 1
-                if item_right - item_left >= shortest and edits + more <= max(1, (item_right - item_left) / (every * 0.8)):
-                    spans.append((left, right, item_left, item_right))
+        for item, start, end, item_end in self.pieces(text):
+            spans = out.setdefault(item, [])
+            if any(a <= start and end <= b and item_end <= d for a, b, _, d in spans):
+                continue
+            whole = self.items[item]
+            right, item_right, edits = _stretch(text, whole, end, item_end, 1)
+            left, item_left, more = _stretch(text, whole, start - 1, item_end - (end - start) - 1, -1)
+            left, item_left = left + 1, item_left + 1
+            if item_right - item_left >= shortest and edits + more <= max(1, (item_right - item_left) / (every * 0.8)):
+                spans.append((left, right, item_left, item_right))
         return [(item, *span) for item, spans in out.items() for span in spans]
 
 

@@ -235,6 +235,29 @@ def test_item_blocks_find_the_same(spark, monkeypatch):
     assert {(x.doc_id, x.item_id) for x in L.leaked(docs, "doc_id", "text", right, "item_id", "text").collect()} == {(i, i) for i in range(5)}
 
 
+def test_pieces_are_those_of_each_item_alone():
+    r = random.Random(7)
+    items = [(i, "".join(r.choice("abc") for _ in range(40))) for i in range(6)]
+    together = L.Automaton(items, 5)
+    alone = [L.Automaton([item], 5) for item in items]
+    for _ in range(60):
+        text = "".join(r.choice("abc") for _ in range(50))
+        assert set(together.pieces(text)) == {x for a in alone for x in a.pieces(text)}
+        equal = {(i, p - 5, t) for i, w in items for p in range(5, 51) for t in range(5, 41) if text[p - 5 : p] == w[t - 5 : t]}
+        assert {(i, p - 5, d - (b - p)) for i, a, b, d in together.pieces(text) for p in range(a + 5, b + 1)} == equal
+
+
+def test_items_that_share_a_passage_are_all_found(spark, monkeypatch):
+    r = random.Random(5)
+    same = letters_of(r, 80)
+    items = [(1, letters_of(r, 60) + same + letters_of(r, 60)), (2, letters_of(r, 40) + same + letters_of(r, 30)), (3, same[5:])]
+    docs = spark.createDataFrame([(i, letters_of(r, 50) + t + letters_of(r, 50)) for i, t in items], "doc_id long, text string")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1_000_000, 100):
+        monkeypatch.setattr(L, "BLOCK_LETTERS", block)
+        assert {(x.doc_id, x.item_id) for x in L.leaked(docs, "doc_id", "text", right, "item_id", "text").collect()} == {(d, i) for d in (1, 2, 3) for i in (1, 2, 3)}
+
+
 def test_places():
     text = "ﾃﾞｰﾀ、ＡＩ㍻"
     found, places = L.letter_places(text)
