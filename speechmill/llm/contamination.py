@@ -16,6 +16,8 @@ from .arrow import map_batches, spread
 LEAST = 70
 #: Around one letter in so many may be changed, lost or added.
 EVERY = 25
+#: A passage ends where so many edits gain fewer letters than PACE.
+BURST, PACE = 4, 12
 #: Letters of items that one automaton holds; more items are searched in several blocks, each against all texts.
 BLOCK_LETTERS = 1_000_000
 
@@ -216,34 +218,59 @@ class Automaton:
             spans = out.setdefault(item, [])
             if any(a <= start and end <= b and item_end <= d for a, b, _, d in spans):
                 continue
-            whole = self.items[item]
-            right, item_right, edits = _stretch(text, whole, end, item_end, 1)
-            left, item_left, more = _stretch(text, whole, start - 1, item_end - (end - start) - 1, -1)
-            left, item_left = left + 1, item_left + 1
-            if item_right - item_left >= shortest and edits + more <= max(1, (item_right - item_left) / (every * 0.8)):
-                spans.append((left, right, item_left, item_right))
+            whole, item_start = self.items[item], item_end - (end - start)
+            if end - start + 2 * (PACE - 1) < shortest and not _goes_on(text, whole, end, item_end, 1) and not _goes_on(text, whole, start - 1, item_start - 1, -1):
+                continue
+            rights, lefts = _reach(text, whole, end, item_end, 1), _reach(text, whole, start - 1, item_start - 1, -1)
+            best = None
+            for more, left, item_left in lefts:
+                for edits, right, item_right in rights:
+                    n = item_right - item_left
+                    if n >= shortest and edits + more <= max(1, n / (every * 0.8)) and (best is None or n > best[3] - best[2]):
+                        best = (left, right, item_left, item_right)
+            if best:
+                spans.append(best)
         return [(item, *span) for item, spans in out.items() for span in spans]
 
 
-def _stretch(a: str, b: str, i: int, j: int, step: int) -> tuple[int, int, int]:
-    """From places i and j go on in one direction over equal letters and single edits; where it ends, and the edits."""
-    edits = 0
-    while True:
-        best, at = 0, None
-        for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)):
-            x, y = i + di * step, j + dj * step
-            k = 0
-            while 0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y]:
-                x += step
-                y += step
+def _goes_on(a: str, b: str, i: int, j: int, step: int) -> bool:
+    """Whether ``_reach`` may gain ``PACE`` letters: most of these must then be among the next letters of the other string. Never wrongly no."""
+    near, known = (a[i : i + PACE + BURST], b[j : j + PACE]) if step > 0 else (a[max(0, i - PACE - BURST + 1) : i + 1], b[max(0, j - PACE + 1) : j + 1])
+    return len(known) == PACE and sum(map(near.__contains__, known)) >= PACE - BURST
+
+
+def _reach(a: str, b: str, i: int, j: int, step: int) -> list[tuple[int, int, int]]:
+    """(edits, place in a, place in b): how far from places i and j on the strings agree in one direction, for each number of edits.
+
+    The places are those after the last equal letter, so a passage may end at any of them. One edit needs an equal letter after it, several at
+    an end must gain three letters each, as what follows a passage may agree by chance. It goes on until ``BURST`` edits gain less than ``PACE`` letters.
+    """
+    base = 0 if step > 0 else 1
+    room_a, room_b = (len(a) - i, len(b) - j) if step > 0 else (i + 1, j + 1)
+    front, gained, out, edits = {0: 0}, [0], [(0, i + base, j + base)], 0
+    while front:
+        edits += 1
+        after: dict[int, int] = {}
+        for d, y in front.items():
+            # Changed, added in a, lost from b: d is how much further a is than b.
+            for to, n in ((d, y + 1), (d + 1, y), (d - 1, y + 1)):
+                if n <= room_b and n + to <= room_a and n > after.get(to, -1):
+                    after[to] = n
+        best, at = gained[-1], None
+        for d, y in after.items():
+            k = y
+            while k < room_b and k + d < room_a and a[i + (k + d) * step] == b[j + k * step]:
                 k += 1
-            cost = max(di, dj)
-            if k - 4 * (cost - 1) > best:
-                best, at = k - 4 * (cost - 1), (x, y, cost)
-        if at is None or best < 6:
-            return i, j, edits
-        i, j = at[0], at[1]
-        edits += at[2]
+            after[d] = k
+            if k > y and k > best:
+                best, at = k, d
+        gained.append(best)
+        if at is not None and all(best - gained[-1 - n] >= 3 * n for n in range(2, edits + 1)):
+            out.append((edits, i + base + (best + at) * step, j + base + best * step))
+        if edits >= BURST and best - gained[-1 - BURST] < PACE:
+            break
+        front = {d: y for d, y in after.items() if y >= best - 40}
+    return out
 
 
 _BUILT: dict[tuple, Automaton] = {}

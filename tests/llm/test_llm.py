@@ -258,6 +258,41 @@ def test_items_that_share_a_passage_are_all_found(spark, monkeypatch):
         assert {(x.doc_id, x.item_id) for x in L.leaked(docs, "doc_id", "text", right, "item_id", "text").collect()} == {(d, i) for d in (1, 2, 3) for i in (1, 2, 3)}
 
 
+def reworded(r, text, every):
+    """The text with a letter changed, lost or added at every so many."""
+    return "".join(r.choice(["", "変", c + "足"]) if i % every == every - 1 else c for i, c in enumerate(text))
+
+
+def test_passages_are_measured_by_their_best_stretch():
+    r = random.Random(9)
+    for _ in range(40):
+        item = letters_of(r, 200)
+        automaton = L.Automaton([(1, item)], 16)
+
+        def found(piece):
+            return automaton.passages(letters_of(r, 40) + piece + letters_of(r, 40), 70, 25)
+
+        # Eighty letters that go on in a reworded copy, on either side.
+        assert found(item[:80] + reworded(r, item[80:], 8)) and found(reworded(r, item[:120], 8) + item[120:])
+        # Edits near the ends and close to each other.
+        assert found(item[:68] + "変" + item[69:72]) and found(item[20:22] + "足" + item[22:92]) and found(item[50:53] + item[54:124])
+        assert found(item[:30] + "変" + item[31:34] + item[35:75])
+        ((_, a, b, c, d),) = found(item)
+        assert (c, d) == (0, 200) and b - a == 200
+        # Too short, or edited too much.
+        assert not found(item[:62]) and not found(reworded(r, item, 8))
+
+
+def test_the_bound_before_measuring_loses_nothing(monkeypatch):
+    r = random.Random(10)
+    items = [(i, "".join(r.choice("abc") for _ in range(90))) for i in range(4)]
+    automaton = L.Automaton(items, 8)
+    texts = ["".join(r.choice("abc") for _ in range(30)) + reworded(r, r.choice(items)[1], r.choice([9, 12, 20])) for _ in range(60)]
+    got = [automaton.passages(t, 60, 12) for t in texts]
+    monkeypatch.setattr(L, "_goes_on", lambda *_: True)
+    assert any(got) and got == [automaton.passages(t, 60, 12) for t in texts]
+
+
 def test_places():
     text = "ﾃﾞｰﾀ、ＡＩ㍻"
     found, places = L.letter_places(text)
