@@ -1,8 +1,8 @@
 """Speakers matched to politicians without a common key: collective linkage over a candidate graph.
 
-Distinct speakers and politicians are nodes; an edge joins two that share an attribute, and weighs more the rarer the attribute. Edges
-lighter than their node's mean are pruned (meta-blocking). What is left is compared in full, and the comparison refined by propagation:
-how well a spoken group name stands for a group follows from the matches so far, and the matches from that, until they stay the same.
+Distinct speakers and politicians are nodes; an edge joins two that share an attribute. Every edge is compared in full, none is pruned
+by its weight, and the comparison refined by propagation: how well a spoken group name stands for a group follows from the matches so far,
+and the matches from that, until they stay the same.
 """
 
 from __future__ import annotations
@@ -166,9 +166,10 @@ def likeness(speaker: str | None, reading: str | None, name: str | None, reading
 
 
 def candidate_graph(units: DataFrame, people: DataFrame) -> DataFrame:
-    """(unit, person, weight): edges by shared attributes, weighted by rarity and pruned to those above their unit's mean.
+    """(unit, person): edges by shared attributes.
 
-    No attribute is too common: a bare family name may still be told by the group on the day, however many bear it.
+    No attribute is too common: a bare family name may still be told by the group on the day, however many bear it. Nor is an edge left out
+    for another that shares more: a reading counts once for each of its letters, a name that agrees exactly only once.
     """
 
     def unit_attributes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -183,11 +184,7 @@ def candidate_graph(units: DataFrame, people: DataFrame) -> DataFrame:
 
     left = map_batches(units.select("unit", "speaker", "reading"), unit_attributes, "unit long, key string")
     right = map_batches(people.select("person", "name", "readings"), person_attributes, "person long, key string")
-    right = right.join(right.groupBy("key").agg(F.count("*").alias("n")), "key")
-    total = F.lit(float(max(2, people.count())))
-    shared = left.join(right, "key").groupBy("unit", "person").agg(F.sum(F.log(total / F.col("n")) + 0.1).alias("weight"))
-    mean = F.avg("weight").over(Window.partitionBy("unit"))
-    return shared.withColumn("_mean", mean).where(F.col("weight") >= F.col("_mean") * 0.6).drop("_mean")
+    return left.join(right, "key").select("unit", "person").distinct()
 
 
 def compare(edges: DataFrame, units: DataFrame, people: DataFrame) -> DataFrame:

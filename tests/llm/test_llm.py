@@ -92,6 +92,13 @@ def test_a_family_name_of_many_is_told_by_the_group(spark):
     assert len(given) > 64 and [(r.row_id, r.politician_id) for r in got] == [(1, 7)]
 
 
+def test_a_homophone_does_not_hide_the_written_name(spark):
+    politician = spark.createDataFrame([(1, "芹礼介", None, "Q1"), (2, "瀬里令助", "せりれいすけ", "Q2")], "id int, name string, name_kana string, wikidata_id string")
+    affiliation = spark.createDataFrame([], "politician_id int, kaiha string, start_date date, end_date date")
+    speech = spark.createDataFrame([(1, dt.date(2024, 5, 1), "芹礼介", "せりれいすけ", None, "議員", None)], "row_id long, date date, speaker string, speaker_yomi string, speaker_group string, speaker_kind string, politician_id int")
+    assert [(r.row_id, r.politician_id) for r in K.link_speakers(speech, politician, affiliation).collect()] == [(1, 1)]
+
+
 # --- Problem 5
 
 
