@@ -28,8 +28,8 @@ TITLES = re.compile("(?:君|議員|委員|氏|さん|くん|先生|[（(][^）)]
 #: A match is given from this confidence on, and only so far ahead of the next candidate.
 LEAST_CONFIDENCE = 0.62
 LEAST_LEAD = 0.04
-#: Rounds of propagation, if the matches do not become stable before.
-ROUNDS = 4
+#: Propagation goes on until the matches repeat; more rounds than this are an error, not a result.
+MOST_ROUNDS = 100
 
 _KANJI = str.maketrans(VARIANT_KANJI | {"ケ": "ヶ", "が": "が"})
 _HIRAGANA = str.maketrans(KATAKANA, HIRAGANA)
@@ -238,8 +238,8 @@ def link_speakers(speech: DataFrame, politician: DataFrame, affiliation: DataFra
     base = materialize(told.where("spoken IS NOT NULL").groupBy("person", "spoken").agg(F.sum("n").alias("weight")).join(ever, "person").groupBy("spoken", "kaiha").agg(F.sum("weight").alias("weight")))
     own = held.select(F.col("kaiha").alias("spoken")).distinct().select("spoken", F.col("spoken").alias("kaiha"), F.lit(1.0).alias("share"))
     sure = rivals.where("_n = 1 AND alike >= 0.6").select("unit", "person")
-    previous = None
-    for _ in range(ROUNDS):
+    states: set[tuple[int, int]] = set()
+    while True:
         found = ties.join(sure, ["unit", "person"]).select("spoken", "kaiha", F.col("n").alias("weight"))
         # A group's own name stands for it fully, whatever the matches say.
         groups = materialize(group_likeness(base.unionByName(found)).where("share >= 0.3 AND spoken <> kaiha").unionByName(own))
@@ -251,9 +251,12 @@ def link_speakers(speech: DataFrame, politician: DataFrame, affiliation: DataFra
         standing = materialize(standing.withColumn("_lead", F.col("score") - F.coalesce(F.lead("score").over(place), F.lit(0.0))).select("unit", "person", "alike", "near", "score", "_k", "_lead"))
         sure = standing.where("_k = 1 AND score >= 0.55 AND _lead > 0.02").select("unit", "person")
         state = sure.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("unit", "person")), F.lit(0))).first()
-        if state == previous:
+        # The next round follows from these matches alone: once they repeat, at once or in a cycle, nothing new comes.
+        if tuple(state) in states:
             break
-        previous = state
+        states.add(tuple(state))
+        if len(states) >= MOST_ROUNDS:
+            raise RuntimeError(f"the matches have not become stable in {MOST_ROUNDS} rounds")
 
     # Each row between its speaker's candidates: the group on the day, then ever, beside the names.
     options = rows.join(standing.select("unit", "person", "alike", "near"), "unit")

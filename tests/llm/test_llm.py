@@ -99,6 +99,25 @@ def test_a_homophone_does_not_hide_the_written_name(spark):
     assert [(r.row_id, r.politician_id) for r in K.link_speakers(speech, politician, affiliation).collect()] == [(1, 1)]
 
 
+def test_propagation_goes_on_until_stable(spark, monkeypatch):
+    """A chain in which each speaker is told from a namesake by the group that the match before has explained."""
+    day, long_ago, kana = dt.date(2024, 5, 1), dt.date(2020, 1, 1), "あきさたなはまらわ"
+    people, held, rows = [(0, "零山零", "れいやまれい", "Q0")], [(0, "会派零", long_ago, None)], [(0, day, "零山零", "れいやまれい", "団零", "議員", None)]
+    for k in range(1, 8):
+        name, reading = "甲乙丙丁戊己庚"[k - 1] * 4, kana[k] * 6
+        people += [(k, name, reading, f"Q{k}"), (k + 100, name, reading, f"Q{k + 100}")]
+        held += [(k, "会派" + "零一二三四五六七"[k - 1], long_ago, None), (k, "会派" + "零一二三四五六七"[k], long_ago, None), (k + 100, "別会派", long_ago, None)]
+        rows += [(10 * k + i, day, name, reading, "団" + "零一二三四五六七"[k - (i < 3)], "議員", None) for i in range(4)]
+    politician = spark.createDataFrame(people, "id int, name string, name_kana string, wikidata_id string")
+    affiliation = spark.createDataFrame(held, "politician_id int, kaiha string, start_date date, end_date date")
+    speech = spark.createDataFrame(rows, "row_id long, date date, speaker string, speaker_yomi string, speaker_group string, speaker_kind string, politician_id int")
+    got = {(r.row_id, r.politician_id) for r in K.link_speakers(speech, politician, affiliation).collect()}
+    assert got >= {(0, 0)} | {(10 * k + i, k) for k in range(1, 8) for i in range(3)} and all(p < 100 for _, p in got)
+    monkeypatch.setattr(K, "MOST_ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        K.link_speakers(speech, politician, affiliation)
+
+
 # --- Problem 5
 
 
