@@ -41,7 +41,6 @@ NOT_NAMES = ["皆", "各位", "委員", "大臣", "議員", "知事", "会長",
 _D = "0-9０-９"
 _K = "〇一二三四五六七八九十百"
 _H = "\\-－‐ー−–—"
-_TRIGGER = re.compile(f"[@＠〒]|[{_D}〇][{_D}〇{_H} .．()（）]{{7,}}|〇[〇一二三四五六七八九]{{1,4}}[{_H} .．]|{'|'.join(HONORIFICS)}|代表[　 ]|申出人|申立人|差出人|請願者|申請者|お?名前は|担当：|Signed|filed by|written by|M(?:rs?|s)\\.? [A-Z]|, a resident|[(\\[（［]\\s*(?:at|アット)| at [\\w.\\-]+[.\\[(]|丁目|番地|[{_D}][{_H}][{_D}]+[{_H}][{_D}]")
 
 _ALNUM = "A-Za-z0-9Ａ-Ｚａ-ｚ０-９"
 _AT = "(?:[@＠]|\\s?[(\\[（［<＜]\\s*(?:at|AT|ａｔ|アット(?:マーク)?)\\s*[)\\]）］>＞]\\s?|\\s+at\\s+)"
@@ -70,6 +69,9 @@ _NAME_CHAR = re.compile(f"[{_NAME_SIGN}A-Za-z・ 　]")
 _WORDS_AFTER = re.compile("|".join(map(re.escape, sorted(AFTER_NAME, key=len, reverse=True))))
 _LEFT_NAME = re.compile("|".join(map(re.escape, sorted(CUES["name"], key=len, reverse=True))))
 
+# Anchors, from the same cues and patterns as the candidates: where none stands, there is no candidate.
+_TRIGGER = re.compile("|".join([f"[@＠〒]|{_AT}{_LABEL}{_DOT}", f"[{_D}〇][{_D}〇一二三四五六七八九{_H} 　.．・()（）]{{7,}}", _BLOCK.pattern, _WORDS_AFTER.pattern, _LEFT_NAME.pattern]))
+
 
 def _script(c: str) -> str:
     if not c:
@@ -226,15 +228,13 @@ def model() -> dict[str, float]:
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
     """Sentences or lines that hold an anchor."""
-    done = -1
-    for m in _TRIGGER.finditer(text):
-        if m.start() < done:
-            continue
+    done = 0
+    while m := _TRIGGER.search(text, done):
         a = max(text.rfind("\n", 0, m.start()), text.rfind("。", 0, m.start())) + 1
         ends = [x for x in (text.find("\n", m.start()), text.find("。", m.start())) if x >= 0]
         b = min(ends, default=len(text))
         yield a, b
-        done = b
+        done = b + 1
 
 
 def find(text: str | None, weights: dict[str, float] | None = None) -> list[tuple[int, int, str]]:

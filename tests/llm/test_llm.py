@@ -379,6 +379,13 @@ def test_finding(text, spans):
     assert [text[s:e] for s, e, _ in pii.find(text)] == spans
 
 
+@pytest.mark.parametrize("text", ["鴫谷勝馬と申します。", "この件は鴫谷勝馬に聞いた。", "紹介を受けた鴫谷勝馬である。", "鴫谷勝馬ほか三人。", "鴫谷勝馬と記す。", "霧原県汀市錦町12番3号に住む。", "霧原県汀市錦町5-12に住む。", "naoro <at> kai.exampleへ。", "naoro（AT）kai.exampleへ。", "naoro［ａｔ］kai.exampleへ。", "naoro at kai dot example", "03・1234・5678へ。", "普通の文である。\n鴫谷勝馬と申します"])
+def test_every_candidate_is_in_a_stretch(text):
+    spans = [(a + s, a + e, k) for a, b in pii.stretches(text) for s, e, k, _ in pii.candidates(text[a:b])]
+    sentences = [m.span() for m in re.finditer("[^\n。]+", text)]
+    assert set(spans) == {(a + s, a + e, k) for a, b in sentences for s, e, k, _ in pii.candidates(text[a:b])} and spans
+
+
 def test_redaction(spark):
     text = "電話は090-0000-1111です。" + "予算の議論。" * 30_000 + "氏名は鴫谷勝馬と記されています。"
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "何もない"), (1, text)], "doc_id long, text string").withColumn("pii_kind", F.lit("clash"))
