@@ -31,6 +31,7 @@ SAME_SHAPE = "へべぺり"
 
 FOREIGN = "".join(LETTER_LIKE.values())
 KANJI = "".join(KANJI_LIKE.values())
+_LATIN = "".join(chr(ord(p) + 0xFEE0) * len(xs) for p, xs in LETTER_LIKE.items())
 _PROTOTYPE = str.maketrans({x: p for p, xs in LETTER_LIKE.items() for x in xs} | {x: p for p, x in KANJI_LIKE.items()} | {x: p for p, x in HIRAGANA_LIKE.items() if x in SAME_SHAPE} | {"゛": "゙", "゜": "゚"} | dict.fromkeys(INVISIBLE, None))
 
 
@@ -155,6 +156,7 @@ def departures(texts: DataFrame, readings: DataFrame) -> DataFrame:
 
     Both inputs are (tbl, field, rec_id, value). Null and empty values are never cases. A word of mixed scripts departs if its
     skeleton group has an original in one script anywhere in the texts; the most frequent one (then the smallest) is its form.
+    Latin words with Greek or Cyrillic letters depart without one, too. Look-alikes in kanji and hiragana words are not searched for.
     Ambiguous look-alikes at a word's ends (a numeral after a katakana word) therefore only count with such evidence.
     """
     found = materialize(scan(texts, False).unionByName(scan(readings, True)))
@@ -163,7 +165,10 @@ def departures(texts: DataFrame, readings: DataFrame) -> DataFrame:
     wanted = suspects.select("skeleton").distinct()
     pure = found.where("word IS NOT NULL").groupBy("skeleton", "word").agg(F.sum("n").alias("n")).join(wanted, "skeleton", "left_semi")
     house = pure.groupBy("skeleton").agg(F.max_by("word", F.struct(F.col("n"), F.col("word"))).alias("house"))
-    fixes = suspects.join(house, "skeleton").groupBy("tbl", "field", "rec_id").agg(F.sort_array(F.collect_set(F.struct(F.length("mixed").alias("k"), "mixed", "house")), asc=False).alias("fixes"))
+    # Latin words with Greek or Cyrillic letters are cases of themselves; a word in one of these scripts is none.
+    clear = F.when(F.col("mixed").rlike(f"[{_WIDE}]") & F.col("mixed").rlike(f"[{FOREIGN}]"), F.translate("mixed", FOREIGN, _LATIN))
+    suspects = suspects.join(house, "skeleton", "left").withColumn("house", F.coalesce("house", clear)).where("house IS NOT NULL")
+    fixes = suspects.groupBy("tbl", "field", "rec_id").agg(F.sort_array(F.collect_set(F.struct(F.length("mixed").alias("k"), "mixed", "house")), asc=False).alias("fixes"))
     both = rows.join(fixes, ["tbl", "field", "rec_id"], "left").where("differs OR fixes IS NOT NULL")
     form = F.expr("aggregate(coalesce(fixes, array()), form, (text, x) -> replace(text, x.mixed, x.house))")
     return both.select("tbl", "field", "rec_id", form.alias("form"))

@@ -38,7 +38,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings that look the same, grouped by skeleton."""
-    return skeleton_groups(table(spark, sf_dir, "speech"), "speaker_yomi")
+    readings = table(spark, sf_dir, "speech").select("speaker_yomi").unionByName(table(spark, sf_dir, "politician").select(F.col("name_kana").alias("speaker_yomi")))
+    return skeleton_groups(readings, "speaker_yomi")
 
 
 def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

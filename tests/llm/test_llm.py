@@ -149,6 +149,19 @@ def test_departures(spark):
     assert [(r.originals, r.members, r.house) for r in groups] == [(2, 3, "へり")]
 
 
+def test_latin_words_with_foreign_letters_need_no_original(spark):
+    texts = spark.createDataFrame([("speech", "body", i, b) for i, b in [(1, "ＱＡΙの活用"), (2, "ＱХＺ"), (3, "ΑΒ"), (4, "ＱＺ")]], "tbl string, field string, rec_id long, value string")
+    assert {r.rec_id: r.form for r in C.departures(texts, texts.limit(0)).collect()} == {1: "ＱＡＩの活用", 2: "ＱＸＺ"}
+
+
+def test_groups_hold_the_politicians_readings_too(spark, tmp_path):
+    from speechmill.llm.queries import p5_groups
+
+    spark.createDataFrame([("へりの",)], "speaker_yomi string").write.parquet(f"{tmp_path}/speech.parquet")
+    spark.createDataFrame([("ヘりの",)], "name_kana string").write.parquet(f"{tmp_path}/politician.parquet")
+    assert [(r.originals, r.members, r.house) for r in p5_groups(spark, str(tmp_path)).collect()] == [(2, 2, "へりの")]
+
+
 # --- Problem 7
 
 
