@@ -5,21 +5,31 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches, spread
+from ..session import materialize, small_enough
+from .arrow import cogroup_batches, map_batches, spread
 
 #: A passage counts from so many consecutive letters and digits of the item.
 LEAST = 70
 #: Around one letter in so many may be changed, lost or added.
 EVERY = 25
+#: A text that holds this part of an item's letters in exact pieces, however short each, exceeds the limit of coverage.
+COVERAGE = 0.8
 #: A passage ends where so many edits gain fewer letters than PACE.
 BURST, PACE = 4, 12
-#: Letters of items that one automaton holds; more items are searched in several blocks, each against all texts.
-BLOCK_LETTERS = 1_000_000
+#: Letters of items that one automaton holds (a few hundred MB in a worker). More items are split into blocks by their id.
+BLOCK_LETTERS = 250_000
+#: With several blocks, letters of candidate texts that one task searches with one block.
+GROUP_LETTERS = 20_000_000
+#: Parts of one gram's texts when texts meet the grams of several blocks.
+SALTS = 16
+#: Occurrence lists that an automaton keeps at hand.
+KEPT = 200_000
 
 
 class _Letters(dict):
@@ -131,6 +141,8 @@ class Automaton:
     def occurrences(self, state: int) -> list[tuple[int, int]]:
         """(item, end) of the strings of a state."""
         if state not in self._all:
+            if len(self._all) >= KEPT:
+                self._all.clear()
             out, stack = [], [state]
             while stack:
                 v = stack.pop()
@@ -211,10 +223,30 @@ class Automaton:
                     done[other, b - d] = last
                     yield other, first, last, place
 
-    def passages(self, text: str, shortest: int, every: int) -> list[tuple[int, int, int, int, int]]:
+    def spans(self, text: str, shortest: int, every: int, coverage: float | None) -> list[tuple[int, int, int, int, int, str]]:
+        """(item, start, end, item start, item end, rule) of what exceeds a limit: the length of one passage, or the part of the item's letters that
+        the exact pieces in the text cover together."""
+        pieces = list(self.pieces(text))
+        out = [(*x, "length") for x in self.passages(text, shortest, every, pieces)]
+        if coverage is not None:
+            of: dict[int, list[tuple[int, int, int]]] = {}
+            for item, start, end, item_end in pieces:
+                of.setdefault(item, []).append((item_end - (end - start), item_end, start))
+            for item, parts in of.items():
+                covered = at = 0
+                for a, b, _ in sorted(parts):
+                    covered += max(0, b - max(at, a))
+                    at = max(at, b)
+                if covered >= coverage * len(self.items[item]):
+                    out += [(item, start, start + b - a, a, b, "coverage") for a, b, start in parts]
+        return out
+
+    def passages(self, text: str, shortest: int, every: int, pieces: list | None = None) -> list[tuple[int, int, int, int, int]]:
         """(item, start, end, item start, item end) of the passages of ``shortest`` letters of an item, edits allowed."""
         out: dict[int, list[tuple[int, int, int, int]]] = {}
-        for item, start, end, item_end in self.pieces(text):
+        for item, start, end, item_end in self.pieces(text) if pieces is None else pieces:
+            if len(self.items[item]) < shortest:
+                continue
             spans = out.setdefault(item, [])
             if any(a <= start and end <= b and item_end <= d for a, b, _, d in spans):
                 continue
@@ -285,61 +317,124 @@ def _automaton(items: list[tuple[int, str]], least: int) -> Automaton:
     return _BUILT[key]
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, shortest: int) -> Iterator[list[tuple[int, str]]]:
-    """Items as (id, letters) in blocks of bounded size; items shorter than a passage can't leak."""
-    block: list[tuple[int, str]] = []
-    size = 0
-    for row in items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).where(F.col(item_id).isNotNull()).orderBy(item_id).toLocalIterator():
-        text = letters(row[1])
-        if len(text) < shortest:
-            continue
-        if block and size + len(text) > BLOCK_LETTERS:
-            yield block
-            block, size = [], 0
-        block.append((row[0], text))
-        size += len(text)
-    if block:
-        yield block
+def seeds(text: str, least: int) -> set[int]:
+    """Hashes of grams such that any two texts that share ``least`` letters share one: of each ``least`` letters the gram with the least hash."""
+    size = least // 2
+    hashes = [int.from_bytes(blake2b(text[i : i + size].encode(), digest_size=8).digest(), "big", signed=True) for i in range(len(text) - size + 1)]
+    wide = least - size + 1
+    return {min(hashes[i : i + wide]) for i in range(len(hashes) - wide + 1)}
 
 
-def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, shortest: int = LEAST, every: int = EVERY, clean: bool = False) -> DataFrame:
-    """(doc_id, item_id, first, last, item_letters, share): the passages of items in texts, as places in the original text.
+def _located(text: str, automaton: Automaton, shortest: int, every: int, coverage: float | None) -> list[dict]:
+    found = automaton.spans(letters(text), shortest, every, coverage) if text else []
+    if not found:
+        return []
+    _, places = letter_places(text)
+    return [{"item_id": item, "first": places[a], "last": places[b - 1] + 1, "item_letters": d - c, "share": (d - c) / len(automaton.items[item]), "rule": rule} for item, a, b, c, d, rule in found]
 
-    A passage holds at least ``shortest`` consecutive letters and digits of an item, of which about one in ``every`` may be
-    edited; blanks, punctuation, width and case do not count. With so few edits the passage holds an exact piece of
-    (shortest - edits) / (edits + 1) letters, which the automaton finds; the passage is then checked letter by letter from
-    there. share is the part of the item's letters in the passage. Null and empty texts and items have none, repeated texts are each searched.
-    With ``clean`` one row a text comes out instead: (doc_id, items, removed, text) with the passages cut out.
-    """
+
+_SPAN = "item_id long, first int, last int, item_letters int, share double, rule string"
+_SPANS = f"array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def _searched(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, shortest: int, every: int, coverage: float | None, keep: bool) -> DataFrame:
+    """(doc_id, text, spans) of the texts with a passage, repeated rows once; text is null unless kept."""
     edits = -(-shortest // every)
     least = max(4, (shortest - edits) // (edits + 1))
-    schema = "doc_id long, items array<long>, removed int, text string" if clean else "doc_id long, item_id long, first int, last int, item_letters int, share double"
-    columns = [x.split()[0] for x in schema.split(", ")]
-    texts = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text")), "doc_id")
-    out = None
-    for block in item_blocks(items, item_id, item_text, shortest):
-
-        def search(batches: Iterator[pa.RecordBatch], block: list[tuple[int, str]] = block) -> Iterator[dict[str, list]]:
-            automaton = _automaton(block, least)
+    shortest_item = shortest if coverage is None else min(shortest, 2 * least)
+    schema = f"doc_id long, key long, text string, spans {_SPANS}"
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text")).where("text <> ''")
+    texts = texts.select("doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").alias("key"), "text")
+
+    def to_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            yield {"item_id": batch.column(0).to_pylist(), "letters": [letters(t) for t in batch.column(1).to_pylist()]}
+
+    known = map_batches(items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")), to_letters, "item_id long, letters string")
+    known = materialize(known.where((F.length("letters") >= shortest_item) & F.col("item_id").isNotNull()).distinct())
+    total = known.agg(F.sum(F.length("letters"))).first()[0] or 0
+
+    def search(rows: pa.RecordBatch | pa.Table, block: list[tuple[int, str]]) -> dict[str, list]:
+        automaton = _automaton(block, least)
+        columns = (rows.column(c).to_pylist() for c in ("doc_id", "key", "text"))
+        found = [(doc, key, text if keep else None, spans) for doc, key, text in zip(*columns) if (spans := _located(text, automaton, shortest, every, coverage))]
+        return {c: [r[k] for r in found] for k, c in enumerate(("doc_id", "key", "text", "spans"))}
+
+    if total <= BLOCK_LETTERS:
+        # All items are one block, whose size has just been counted: every task searches its texts where they lie.
+        held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in known.orderBy("item_id", "letters").toLocalIterator()])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
             for batch in batches:
-                rows: list[tuple] = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = automaton.passages(letters(text), shortest, every) if text else []
-                    if not found:
-                        continue
-                    _, places = letter_places(text)
-                    spans = [(item, places[a], places[b - 1] + 1, d - c) for item, a, b, c, d in found]
-                    if clean:
-                        kept, at, removed = [], 0, 0
-                        for _, a, b, _ in sorted(spans, key=lambda s: s[1:]):
-                            kept.append(text[at : max(at, a)])
-                            removed += max(0, b - max(at, a))
-                            at = max(at, b)
-                        rows.append((doc, sorted({s[0] for s in spans}), removed, "".join(kept) + text[at:]))
-                    else:
-                        rows += [(doc, item, a, b, n, n / len(automaton.items[item])) for item, a, b, n in spans]
-                yield {c: [r[k] for r in rows] for k, c in enumerate(columns)}
-
-        part = map_batches(texts, search, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+                if held.value:
+                    yield search(batch, held.value)
+
+        return map_batches(spread(texts, "doc_id"), run, schema).distinct()
+
+    # Several blocks: a text goes only to those whose seeds it holds, read once for all of them.
+    def to_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            rows = [(k, h) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for h in seeds(letters(t), least)]
+            yield {"key": [k for k, _ in rows], "seed": [h for _, h in rows]}
+
+    known = known.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(-(-total // BLOCK_LETTERS))))
+    of_block = map_batches(known.select("block", "letters"), to_seeds, "key long, seed long").withColumnRenamed("key", "block").distinct()
+    of_text = map_batches(texts.select("key", "text"), to_seeds, "key long, seed long")
+    if small_enough(total, 16):
+        pairs = of_text.join(F.broadcast(of_block), "seed")
+    else:
+        # A gram that a third of the texts hold is met in parts.
+        parts = of_block.select("seed", "block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        pairs = of_text.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(parts, ["seed", "salt"])
+    wanted = texts.join(pairs.select("key", "block").distinct(), "key").withColumn("size", F.length("text"))
+    wanted = materialize(wanted)
+    largest = wanted.groupBy("block").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0
+    salts = -(-largest // GROUP_LETTERS) or 1
+    left = wanted.select((F.col("block") * salts + F.pmod("key", F.lit(salts))).alias("part"), "doc_id", "key", "text")
+    right = known.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.col("block") * salts + i)).alias("part"), "item_id", "letters")
+
+    def both(of_texts: pa.Table, of_items: pa.Table) -> dict[str, list]:
+        block = sorted(zip(of_items.column("item_id").to_pylist(), of_items.column("letters").to_pylist()))
+        return search(of_texts, block)
+
+    # A text's spans are bounded by its length, so one row holds them.
+    parts = cogroup_batches(left, right, "part", both, schema).distinct()
+    return parts.groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, shortest: int = LEAST, every: int = EVERY, coverage: float | None = None) -> DataFrame:
+    """(doc_id, item_id, first, last, item_letters, share, rule): the passages of items in texts, as places in the original text.
+
+    ``length``: a passage of at least ``shortest`` consecutive letters and digits of an item, of which about one in ``every`` may be
+    edited; blanks, punctuation, width and case do not count. With so few edits the passage holds an exact piece of
+    (shortest - edits) / (edits + 1) letters, which the automaton finds; the passage is then checked letter by letter from
+    there. ``coverage``: the exact pieces of an item in one text, each of that many letters, together hold this part of the item's letters,
+    however short each is (not searched for where the limit is null). share is the part of the item's letters in the passage or piece.
+    Null and empty texts and items have none, repeated rows come out once. Items shorter than a passage have no passage by length.
+    """
+    found = _searched(docs, doc_id, doc_text, items, item_id, item_text, shortest, every, coverage, False)
+    return found.select("doc_id", F.inline("spans"))
+
+
+def cleaned(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, shortest: int = LEAST, every: int = EVERY, coverage: float | None = COVERAGE) -> DataFrame:
+    """(doc_id, items, removed, text): each text with a passage, once, with everything cut out that exceeds the limit of length or of coverage.
+
+    ``removed`` counts the characters cut, blanks and punctuation within a passage too. Texts without passages do not come out; see ``leaked``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "items": [], "removed": [], "text": []}
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                kept, at, removed = [], 0, 0
+                for a, b in sorted((x["first"], x["last"]) for x in spans):
+                    kept.append(text[at : max(at, a)])
+                    removed += max(0, b - max(at, a))
+                    at = max(at, b)
+                out["items"].append(sorted({x["item_id"] for x in spans}))
+                out["removed"].append(removed)
+                out["text"].append("".join(kept) + text[at:])
+            yield out
+
+    found = _searched(docs, doc_id, doc_text, items, item_id, item_text, shortest, every, coverage, True)
+    return map_batches(found, run, "doc_id long, items array<long>, removed int, text string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .confusables import departures, skeleton_groups
-from .contamination import leaked
+from .contamination import COVERAGE, cleaned, leaked
 from .linkage import link_speakers
 from .packing import fill, pack
 from .pii import personal_information, redact
@@ -43,17 +43,19 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where in which document which item's passage stands."""
-    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+    """Where in which document what of which item stands, by the limits of length and of coverage."""
+    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text", coverage=COVERAGE)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_passages(spark, sf_dir).select("doc_id", "item_id").distinct()
+    """Documents and items by the limit of length alone: many shorter stretches are no cases here."""
+    found = leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+    return found.select("doc_id", "item_id").distinct()
 
 
 def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents concerned, with the passages cut out."""
-    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text", clean=True)
+    """The documents concerned, with everything beyond the limits cut out."""
+    return cleaned(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,7 +259,7 @@ def test_leaks(spark):
     by = dict(docs)
     for x in got:
         assert len(L.letters(by[x.doc_id][x.first : x.last])) >= 66 and 0 < x.share <= 1
-    clean = L.leaked(left, "doc_id", "text", right, "item_id", "text", clean=True)
+    clean = L.cleaned(left, "doc_id", "text", right, "item_id", "text", coverage=None)
     assert {x.doc_id for x in clean.collect()} == {d for d, _ in true}
     assert L.leaked(clean.select("doc_id", "text"), "doc_id", "text", right, "item_id", "text").count() == 0
     assert L.leaked(left, "doc_id", "text", right.limit(0), "item_id", "text").count() == 0
@@ -272,6 +272,44 @@ def test_item_blocks_find_the_same(spark, monkeypatch):
     right = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(L, "BLOCK_LETTERS", 150)
     assert {(x.doc_id, x.item_id) for x in L.leaked(docs, "doc_id", "text", right, "item_id", "text").collect()} == {(i, i) for i in range(5)}
+    monkeypatch.setattr(L, "small_enough", lambda *_: False)
+    monkeypatch.setattr(L, "GROUP_LETTERS", 150)
+    assert {(x.doc_id, x.item_id) for x in L.leaked(docs, "doc_id", "text", right, "item_id", "text").collect()} == {(i, i) for i in range(5)}
+
+
+@pytest.mark.parametrize("block", [1_000_000, 100])
+def test_a_text_with_passages_of_two_blocks_is_cleaned_once(spark, monkeypatch, block):
+    r = random.Random(3)
+    items = [(i, letters_of(r, 100)) for i in range(4)]
+    rest = [letters_of(r, 40) for _ in range(3)]
+    text = rest[0] + items[0][1] + rest[1] + items[1][1] + items[2][1] + rest[2]
+    docs = spark.createDataFrame([(7, text), (7, text), (8, "何もない"), (None, text), (9, None)], "doc_id long, text string")
+    right = spark.createDataFrame([*items, (None, "無" * 90), (5, None)], "item_id long, text string")
+    monkeypatch.setattr(L, "BLOCK_LETTERS", block)
+    got = L.cleaned(docs, "doc_id", "text", right, "item_id", "text").collect()
+    assert sorted([tuple(x) for x in got], key=str) == sorted([(d, [0, 1, 2], 300, "".join(rest)) for d in (7, None)], key=str)
+
+
+def test_many_short_stretches_exceed_the_limit_of_coverage(spark):
+    r = random.Random(14)
+    item, short = letters_of(r, 120), letters_of(r, 40)
+    filler = ["填" * 15 + "埋" * 15 for _ in range(5)]
+    text = "".join(item[k : k + 30] + f for k, f in zip(range(0, 120, 30), filler))
+    docs = spark.createDataFrame([(1, text), (2, item[:60] + filler[0]), (3, filler[0] + short + filler[1])], "doc_id long, text string")
+    right = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    assert L.leaked(docs, "doc_id", "text", right, "item_id", "text").count() == 0
+    got = L.leaked(docs, "doc_id", "text", right, "item_id", "text", coverage=0.8)
+    assert {(x.doc_id, x.item_id, x.rule) for x in got.collect()} == {(1, 1, "coverage"), (3, 2, "coverage")}
+    clean = {x.doc_id: x.text for x in L.cleaned(docs, "doc_id", "text", right, "item_id", "text").collect()}
+    assert clean == {1: "".join(filler[:4]), 3: filler[0] + filler[1]}
+
+
+def test_seeds_meet_wherever_texts_share_so_many_letters():
+    r = random.Random(15)
+    for _ in range(200):
+        same = letters_of(r, 16)
+        assert L.seeds(letters_of(r, r.randrange(20)) + same + letters_of(r, 20), 16) & L.seeds(same + letters_of(r, 9), 16)
+    assert L.seeds("", 16) == L.seeds("短い", 16) == set()
 
 
 def test_pieces_are_those_of_each_item_alone():
