@@ -35,7 +35,7 @@ def version_join(events: DataFrame, event_id: str, event_entity: str, event_date
     ``end`` is inclusive and open when null; ``known`` is a timestamp that counts by its day. Events without entity or date, or
     without such a row, give no result; rows without entity, start or known time never hold. Repeated event rows each give a row.
 
-    Nothing is gathered by entity: a third of all events may belong to one. Events are first reduced to distinct (entity, day), whose number the
+    No event is gathered by entity alone: a third of all events may belong to one. Events are first reduced to distinct (entity, day), whose number the
     calendar bounds, and the winner of a version is a maximum over aligned blocks of days, which combines before the shuffle.
     """
     rows = rows.select(
@@ -63,8 +63,9 @@ def version_join(events: DataFrame, event_id: str, event_entity: str, event_date
         wide = rows.select("_row", *[f"_attr_{a}" for a in attributes]).dropDuplicates(["_row"])
         versions = versions.join(wide, "_row")
 
-    numbered = facts.join(ticks.where("_e = 0").select("entity", "day", "version"), ["entity", "day"])
-    out = numbered.join(versions, ["entity", "version"])
+    # Versions meet the narrow days, of which an entity has no more than the calendar; the events themselves are joined once, by entity and day.
+    held = ticks.where("_e = 0").select("entity", "day", "version").join(versions, ["entity", "version"]).drop("version")
+    out = facts.join(held, ["entity", "day"])
     return out.select(F.col("_event").alias(event_id), F.col("_row").alias(f"{row_id}_held" if row_id == event_id else row_id), *[F.col(f"_attr_{a}").alias(a) for a in attributes])
 
 
