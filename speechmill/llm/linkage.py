@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -207,16 +207,26 @@ def group_likeness(linked: DataFrame) -> DataFrame:
     return pairs.withColumn("_k", of_kaiha).withColumn("_s", of_spoken).select("spoken", "kaiha", (F.col("w") / F.col("_s")).alias("share"))
 
 
+def unit_id(speaker: str, reading: str) -> Column:
+    """One number for a speaker and reading; a null is marked, as a hash alone passes over it."""
+    return F.xxhash64(F.col(speaker).isNull(), speaker, F.col(reading).isNull(), reading)
+
+
 def link_speakers(speech: DataFrame, politician: DataFrame, affiliation: DataFrame) -> DataFrame:
     """(row_id, politician_id, wikidata_id, confidence) for members' speeches without politician_id.
 
     Rows whose speaker fits nobody, or two people equally, have no match; nor have rows without a speaker and reading. Repeated rows come
     out once. People of one name are told apart by the group they belonged to on the day, then by the groups they ever belonged to.
     """
-    open_rows = speech.where("speaker_kind = '議員' AND politician_id IS NULL").select("row_id", "date", F.col("speaker"), F.col("speaker_yomi").alias("reading"), same_look(F.col("speaker_group")).alias("spoken"))
-    units = materialize(open_rows.groupBy("speaker", "reading").agg(F.count("*").alias("rows")).withColumn("unit", F.xxhash64("speaker", "reading")).select("unit", "speaker", "reading", "rows"))
-    told = speech.where("politician_id IS NOT NULL").groupBy(F.col("politician_id").cast("long").alias("person"), F.col("speaker_yomi").alias("r"), same_look(F.col("speaker_group")).alias("spoken")).agg(F.count("*").alias("n"))
-    told = materialize(told)
+    spoken = same_look(F.col("speaker_group")).alias("spoken")
+    open_row = F.expr("speaker_kind <=> '議員' AND politician_id IS NULL")
+    # One pass: linked speeches by person, reading and group, open ones by speaker, reading, group and day. Both combine before the shuffle.
+    said = speech.where(open_row | F.col("politician_id").isNotNull()).select(F.col("politician_id").cast("long").alias("person"), F.when(open_row, F.col("speaker")).alias("speaker"), F.col("speaker_yomi").alias("reading"), spoken, F.when(open_row, F.col("date")).alias("date"))
+    said = materialize(said.groupBy("person", "speaker", "reading", "spoken", "date").agg(F.count("*").alias("n")))
+    asked = said.where("person IS NULL").select(unit_id("speaker", "reading").alias("unit"), "speaker", "reading", "spoken", "date", "n")
+    units = materialize(asked.groupBy("unit", "speaker", "reading").agg(F.sum("n").alias("rows")))
+    asked = asked.select("unit", "spoken", "date", "n")
+    told = said.where("person IS NOT NULL").select("person", F.col("reading").alias("r"), "spoken", "n")
     # The reading heard most: a misspelt one is rarely repeated. A minimum over (−n, reading) combines before the shuffle.
     heard = told.where("r IS NOT NULL").groupBy("person", "r").agg(F.sum("n").alias("n")).groupBy("person").agg(F.array(F.min(F.struct((-F.col("n")).alias("k"), "r")).getField("r")).alias("_heard"))
     people = politician.select(F.col("id").cast("long").alias("person"), "name", F.array("name_kana").alias("_own"), "wikidata_id")
@@ -226,12 +236,11 @@ def link_speakers(speech: DataFrame, politician: DataFrame, affiliation: DataFra
 
     held = affiliation.where("kaiha IS NOT NULL").select(F.col("politician_id").cast("long").alias("person"), same_look(F.col("kaiha")).alias("kaiha"), F.coalesce("start_date", F.lit("0001-01-01").cast("date")).alias("a"), F.coalesce("end_date", F.lit("9999-12-31").cast("date")).alias("b"))
     ever = held.select("person", "kaiha").distinct()
-    rows = materialize(open_rows.withColumn("unit", F.xxhash64("speaker", "reading")).select("row_id", "date", "unit", "spoken").distinct())
     best = F.max("alike").over(Window.partitionBy("unit"))
     rivals = materialize(scored.withColumn("_best", best).where("alike >= _best - 0.25").withColumn("_n", F.count("*").over(Window.partitionBy("unit"))).drop("_best"))
 
     # The group names of one candidate's units, against the groups of that candidate; linked speeches are matches from the start.
-    spoken_units = rows.where("spoken IS NOT NULL").groupBy("unit", "spoken").agg(F.count("*").alias("n"))
+    spoken_units = asked.where("spoken IS NOT NULL").groupBy("unit", "spoken").agg(F.sum("n").alias("n"))
     votes = spoken_units.groupBy("unit").agg(F.sum("n").alias("_t"))
     rivals = materialize(rivals.join(votes, "unit", "left"))
     ties = materialize(spoken_units.join(rivals.select("unit", "person"), "unit").join(ever, "person"))
@@ -258,15 +267,18 @@ def link_speakers(speech: DataFrame, politician: DataFrame, affiliation: DataFra
         if len(states) >= MOST_ROUNDS:
             raise RuntimeError(f"the matches have not become stable in {MOST_ROUNDS} rounds")
 
-    # Each row between its speaker's candidates: the group on the day, then ever, beside the names.
-    options = rows.join(standing.select("unit", "person", "alike", "near"), "unit")
+    # Each speaker, group and day between the candidates: the group on the day, then ever, beside the names. No row is met before this is decided.
+    options = asked.drop("n").join(standing.select("unit", "person", "alike", "near"), "unit")
     terms = held.join(groups, "kaiha").select("person", "spoken", "share", "a", "b")
-    keys = ["row_id", "date", "unit", "spoken", "person", "alike", "near"]
+    keys = ["unit", "spoken", "date", "person", "alike", "near"]
     on_day = F.when(F.col("date").between(F.col("a"), F.col("b")), F.col("share"))
     rated = options.join(terms, ["person", "spoken"], "left").groupBy(*keys).agg(F.max(on_day).alias("now"), F.max("share").alias("once"))
     group = F.when(F.col("spoken").isNull(), F.col("near")).otherwise(0.7 * F.coalesce("now", F.lit(0.0)) + 0.3 * F.coalesce("once", F.lit(0.0)))
     rated = rated.withColumn("confidence", F.col("alike") * 0.85 + group * 0.15)
-    order = Window.partitionBy("row_id", "date", "unit", "spoken").orderBy(F.desc("confidence"), "person")
+    order = Window.partitionBy("unit", "spoken", "date").orderBy(F.desc("confidence"), "person")
     ranked = rated.withColumn("_k", F.row_number().over(order)).withColumn("_next", F.lead("confidence").over(order))
     first = ranked.where(f"_k = 1 AND confidence >= {LEAST_CONFIDENCE} AND (_next IS NULL OR confidence - _next >= {LEAST_LEAD})")
-    return first.join(people.select("person", "wikidata_id"), "person").select("row_id", F.col("person").alias("politician_id"), "wikidata_id", F.round("confidence", 4).alias("confidence"))
+    first = first.join(people.select("person", "wikidata_id"), "person").select("unit", "spoken", F.col("date").alias("day"), F.col("person").alias("politician_id"), "wikidata_id", F.round("confidence", 4).alias("confidence"))
+    rows = speech.where(open_row).select("row_id", "date", unit_id("speaker", "speaker_yomi").alias("of"), spoken.alias("group"))
+    found = rows.join(first, (F.col("of") == F.col("unit")) & F.col("group").eqNullSafe(F.col("spoken")) & F.col("date").eqNullSafe(F.col("day")))
+    return found.select("row_id", "politician_id", "wikidata_id", "confidence").distinct()

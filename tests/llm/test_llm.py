@@ -99,6 +99,18 @@ def test_a_homophone_does_not_hide_the_written_name(spark):
     assert [(r.row_id, r.politician_id) for r in K.link_speakers(speech, politician, affiliation).collect()] == [(1, 1)]
 
 
+def test_a_missing_name_and_a_missing_reading_are_two_speakers(spark):
+    politician = spark.createDataFrame([(1, "なぎもりなつた", "なぎもりなつた", "Q1")], "id int, name string, name_kana string, wikidata_id string")
+    affiliation = spark.createDataFrame([], "politician_id int, kaiha string, start_date date, end_date date")
+    day = dt.date(2024, 5, 1)
+    rows = [(1, day, "なぎもりなつた", None, None, "議員", None), (2, day, None, "なぎもりなつた", None, "議員", None), (3, None, None, None, None, "議員", None)]
+    speech = spark.createDataFrame(rows, "row_id long, date date, speaker string, speaker_yomi string, speaker_group string, speaker_kind string, politician_id int")
+    units = [r[0] for r in speech.select(K.unit_id("speaker", "speaker_yomi")).collect()]
+    assert len(set(units)) == 3
+    got = {r.row_id: r.confidence for r in K.link_speakers(speech, politician, affiliation).collect()}
+    assert set(got) == {1, 2} and got == {1: pytest.approx(K.likeness("なぎもりなつた", None, "なぎもりなつた", ["なぎもりなつた"]) * 0.85 + 0.075, abs=1e-3), 2: pytest.approx(0.85 * 0.85 + 0.075, abs=1e-3)}
+
+
 def test_propagation_goes_on_until_stable(spark, monkeypatch):
     """A chain in which each speaker is told from a namesake by the group that the match before has explained."""
     day, long_ago, kana = dt.date(2024, 5, 1), dt.date(2020, 1, 1), "あきさたなはまらわ"
