@@ -19,20 +19,23 @@ from ..functions.text import INVISIBLE
 from ..session import materialize
 from .arrow import map_batches, spread
 
-# Characters of one script that look like those of another. Left: prototype.
+# Characters of one script that look like those of another. The table lists, for each katakana sign, the kanji or the hiragana of its
+# shape, and for each Latin letter the Greek, Cyrillic and Armenian ones. Width, ligature, radical, compatibility and mathematical forms follow by rule.
 KANJI_LIKE = {"カ": "力", "ロ": "口", "ニ": "二", "ハ": "八", "エ": "工", "タ": "夕", "ト": "卜", "オ": "才", "チ": "千", "ミ": "三", "ー": "一", "ノ": "丿", "メ": "乂", "セ": "七", "ヌ": "又", "ム": "厶", "サ": "廾", "ヒ": "匕"}
-HIRAGANA_LIKE = {"ヘ": "へ", "ベ": "べ", "ペ": "ぺ", "リ": "り", "ヤ": "や", "ウ": "う", "カ": "か", "キ": "き", "コ": "こ", "セ": "せ", "モ": "も"}
+HIRAGANA_LIKE = {"ヘ": "へ", "ベ": "べ", "ペ": "ぺ", "リ": "り"}
 LETTER_LIKE = {
-    "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "J": "Ј", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟО", "P": "ΡР", "S": "Ѕ", "T": "ΤТ", "X": "ΧХ", "Y": "ΥУҮ", "Z": "Ζ",
-    "a": "αа", "c": "сϲ", "e": "е", "i": "іι", "j": "ј", "o": "οо", "p": "ρр", "s": "ѕ", "v": "ν", "x": "х", "y": "у",
+    "A": "ΑА", "B": "ΒВ", "C": "СϹ", "D": "Ꭰ", "E": "ΕЕ", "F": "Ϝ", "G": "Ԍ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚК", "L": "Ꮮ", "M": "ΜМϺ", "N": "Ν", "O": "ΟОՕ", "P": "ΡР", "Q": "Ԛ", "S": "ЅՏ", "T": "ΤТ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ΧХ", "Y": "ΥУҮ", "Z": "Ζ",
+    "a": "αа", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "οоօ", "p": "ρр", "q": "ԛզ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у",
 }
-#: Of the hiragana, only these are taken for katakana of the same shape; the others above merely resemble them.
+#: Strokes that stand for the mark of a long vowel within a katakana word.
+DASHES = "―—–−─━‐－"
+#: Of the hiragana, these have the shape of their katakana.
 SAME_SHAPE = "へべぺり"
 
 FOREIGN = "".join(LETTER_LIKE.values())
 KANJI = "".join(KANJI_LIKE.values())
 _LATIN = "".join(chr(ord(p) + 0xFEE0) * len(xs) for p, xs in LETTER_LIKE.items())
-_PROTOTYPE = str.maketrans({x: p for p, xs in LETTER_LIKE.items() for x in xs} | {x: p for p, x in KANJI_LIKE.items()} | {x: p for p, x in HIRAGANA_LIKE.items() if x in SAME_SHAPE} | {"゛": "゙", "゜": "゚"} | dict.fromkeys(INVISIBLE, None))
+_PROTOTYPE = str.maketrans({x: p for p, xs in LETTER_LIKE.items() for x in xs} | {x: p for p, x in KANJI_LIKE.items()} | {x: p for p, x in HIRAGANA_LIKE.items()} | {"゛": "゙", "゜": "゚"} | dict.fromkeys(DASHES, "ー") | dict.fromkeys(INVISIBLE, None))
 
 
 def skeleton(text: str) -> str:
@@ -80,38 +83,91 @@ def composed(text: str) -> str:
 
 
 _WIDE = "Ａ-Ｚａ-ｚ０-９"
-_WORDS = re.compile(f"[ァ-ヺー{KANJI}{SAME_SHAPE}]{{2,}}|[{_WIDE}{FOREIGN}]*[{FOREIGN}][{_WIDE}{FOREIGN}]*|[{_WIDE}]{{2,}}")
-_KANJI_WORDS = re.compile("[一-鿿々]*[一-鿿々](?:[" + "".join(KANJI_LIKE) + "](?![ァ-ヺー]))[一-鿿々]*|[" + "".join(KANJI_LIKE) + "](?<![ァ-ヺー].)[一-鿿々]+")
-_KATAKANA = re.compile("[ァ-ヺー]+")
+_KATA = "ァ-ヺー"
+_HAN = "一-鿿々"
+_LIKE = "".join(KANJI_LIKE)
+_WORDS = re.compile(f"[ァ-ヺ](?:[{_KATA}{KANJI}{SAME_SHAPE}]|[{DASHES}](?=[ァ-ヺ]))+|[{_KATA}{KANJI}{SAME_SHAPE}]{{2,}}|[{_WIDE}{FOREIGN}]*[{FOREIGN}][{_WIDE}{FOREIGN}]*|[{_WIDE}]{{2,}}")
+_KANJI_WORDS = re.compile(f"(?<![{_KATA}{_HAN}])[{_HAN}{_LIKE}]{{2,}}+(?![{_KATA}])")
+_ONE_SIGN = re.compile(f"(?:[{_HAN}]|(?<![{_LIKE}])[{_LIKE}](?![{_LIKE}]))+\\Z")
+_HIRAGANA_WORDS = re.compile(f"(?<![{_KATA}])(?:(?<=[ぁ-ゖ])[{''.join(HIRAGANA_LIKE)}](?![{_KATA}])|[{''.join(HIRAGANA_LIKE)}](?=[ぁ-ゖ]))")
+_KATAKANA = re.compile("[ァ-ヺー]")
 _PURE_KATAKANA = re.compile("[ァ-ヺー]+\\Z")
 _PURE_WIDE = re.compile(f"[{_WIDE}]+\\Z")
 _HAS_FOREIGN = re.compile(f"[{FOREIGN}]")
+_HAS_WIDE = re.compile(f"[{_WIDE}]")
+_HAS_KANJI = re.compile(f"[{KANJI}]")
 _EDGE = f"{KANJI}{SAME_SHAPE}"
+_TO_LATIN = str.maketrans(FOREIGN, _LATIN)
 
 
-def words_of(text: str) -> tuple[list[str], list[str]]:
-    """Words in one script, and words that mix scripts by look-alike characters (also without such characters at their ends)."""
-    pure, mixed = [], []
+def words_of(text: str) -> tuple[list[str], list[tuple[str, str | None]]]:
+    """Words in one script, and words that mix scripts by look-alike characters (also without such characters at their ends).
+
+    The latter come with their form where it is certain from the word alone: Latin words with foreign letters, and single katakana signs of
+    hiragana shape beside hiragana. All others have to be told from the words of the same skeleton.
+    """
+    pure: list[str] = []
+    mixed: list[tuple[str, str | None]] = []
     for word in _WORDS.findall(text):
         if _PURE_KATAKANA.match(word) or _PURE_WIDE.match(word):
             pure.append(word)
         elif _HAS_FOREIGN.search(word):
-            mixed.append(word)
+            mixed.append((word, word.translate(_TO_LATIN) if _HAS_WIDE.search(word) else None))
         elif _KATAKANA.search(word):
             right, left = word.rstrip(_EDGE), word.lstrip(_EDGE)
-            mixed += {w for w in (word, right, left, right.lstrip(_EDGE)) if len(w) > 1 and not _PURE_KATAKANA.match(w)}
+            mixed += {(w, None) for w in (word, right, left, right.lstrip(_EDGE)) if len(w) > 1 and not _PURE_KATAKANA.match(w)}
+    for word in _KANJI_WORDS.findall(text):
+        if not _KATAKANA.search(word):
+            if _HAS_KANJI.search(word):
+                pure.append(word)
+        elif _ONE_SIGN.match(word) and any("一" <= c <= "鿿" for c in word):
+            mixed.append((word, None))
+    for m in _HIRAGANA_WORDS.finditer(text):
+        word = text[max(0, m.start() - 1) : m.end() + 1]
+        mixed.append((word, word.replace(m.group(), HIRAGANA_LIKE[m.group()])))
     return pure, mixed
 
 
-_HIRAGANA_ONLY = re.compile("[ぁ-ゖ]")
-_TO_KATAKANA = str.maketrans({x: p for p, x in KANJI_LIKE.items()} | {x: p for p, x in HIRAGANA_LIKE.items() if x in SAME_SHAPE})
-_TO_HIRAGANA = str.maketrans({p: x for p, x in HIRAGANA_LIKE.items() if x in SAME_SHAPE} | {x: chr(ord(p) - 0x60) for p, x in KANJI_LIKE.items() if p != "ー"} | {"一": "ー"})
+_MARKS = "゙゚゛゜ﾞﾟ"
+_CELL = re.compile(f"(?s).(?:[\\s　]*[{_MARKS}]|[{INVISIBLE}])*")
+_CLAUSE = re.compile("[^。、\n]+")
+
+
+def _sort(c: str) -> str:
+    return "kata" if "ァ" <= c <= "ヺ" or c == "ー" else "hira" if "ぁ" <= c <= "ゖ" else "kanji" if "一" <= c <= "鿿" or c == "々" else "blank" if c.isspace() else "wide" if c.isalnum() else "sign"
+
+
+def originals_of(text: str) -> list[tuple[str, str]]:
+    """(word as it stands, its house form) of the words that hold characters other than the house members of their prototypes."""
+    out = []
+    for clause in _CLAUSE.findall(text):
+        if composed(clause) == clause:
+            continue
+        word, kind = "", None
+        for cell in [*_CELL.findall(clause), "。"]:
+            form = composed(cell)
+            sort = _sort(form[0]) if form else kind
+            if word and sort != kind and kind is not None:
+                if (house := composed(word)) != word:
+                    out.append((word, house))
+                word = ""
+            word, kind = word + cell, sort
+    return out
+
+
+_TO_KATAKANA = str.maketrans({x: p for p, x in KANJI_LIKE.items()} | {x: p for p, x in HIRAGANA_LIKE.items()})
+_TO_HIRAGANA = str.maketrans({p: x for p, x in HIRAGANA_LIKE.items()} | {x: chr(ord(p) - 0x60) for p, x in KANJI_LIKE.items() if p != "ー"} | {"一": "ー"})
+
+
+def _scripts(word: str) -> tuple[int, int]:
+    """How many unmistakable katakana and hiragana a word has."""
+    return sum("ァ" <= c <= "ヺ" and c not in HIRAGANA_LIKE for c in word), sum("ぁ" <= c <= "ゖ" and c not in SAME_SHAPE for c in word)
 
 
 def reading_form(reading: str) -> str:
     """A reading in consistent form: each of its words in the script of its unmistakable characters."""
     words = composed(reading).split("　")
-    clear = [(sum("ァ" <= c <= "ヺ" and c not in "ヘベペリ" for c in w), sum("ぁ" <= c <= "ゖ" and c not in SAME_SHAPE for c in w)) for w in words]
+    clear = [_scripts(w) for w in words]
     whole = (sum(k for k, _ in clear), sum(h for _, h in clear))
     out = []
     for word, (kata, hira) in zip(words, clear):
@@ -121,30 +177,41 @@ def reading_form(reading: str) -> str:
     return "　".join(out)
 
 
-def scan(values: DataFrame, reading: bool) -> DataFrame:
-    """One pass over (tbl, field, rec_id, value): rows whose composed form differs or which hold mixed words, and counts of pure words."""
-    schema = "tbl string, field string, rec_id long, form string, differs boolean, mixed array<string>, skeletons array<string>, word string, skeleton string, n long"
-    names = ["tbl", "field", "rec_id", "form", "differs", "mixed", "skeletons", "word", "skeleton", "n"]
+def scan(values: DataFrame, kind: str) -> DataFrame:
+    """One pass over (tbl, field, rec_id, value). Two sorts of rows come out.
+
+    With tbl: a value's ``originals``, the words (of readings: the value) that may not be in house form, each with its skeleton and, where its
+    prototypes leave no choice, its house form. Without tbl: ``word``, one that is in house form, its skeleton and how often it stands in a batch.
+    """
+    schema = "kind string, tbl string, field string, rec_id long, form string, originals array<struct<original:string,skeleton:string,house:string,mixed:boolean>>, word string, skeleton string, n long"
+    names = ["kind", "tbl", "field", "rec_id", "form", "originals", "word", "skeleton", "n"]
+
+    def marks(value: str, count: Counter) -> tuple[str, list[tuple[str, str | None, bool]]]:
+        if kind == "reading":
+            form = reading_form(value)
+            # Without one unmistakable sign nothing but a reading of the same skeleton tells the script.
+            clear = any(_scripts(composed(value))) or not _HAS_KANJI.search(form)
+            if form == value and clear:
+                count[value] += 1
+                return form, []
+            return form, [(value, form if clear or form != value else None, not clear)]
+        form = composed(value)
+        pure, mixed = words_of(form)
+        count.update(pure)
+        return form, [*((w, h, False) for w, h in (originals_of(value) if form != value else ())), *((w, h, True) for w, h in mixed)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for batch in batches:
-            tbl, field, rec, value = (batch.column(i).to_pylist() for i in range(4))
             out: dict[str, list] = {k: [] for k in names}
             count: Counter = Counter()
-            for t, f, r, v in zip(tbl, field, rec, value):
-                if not v:
-                    continue
-                if reading:
-                    form, mixed = reading_form(v), []
-                else:
-                    form = composed(v)
-                    pure, mixed = words_of(form)
-                    count.update(pure)
-                if mixed or form != v:
-                    for k, x in zip(names, (t, f, r, form, form != v, mixed, [skeleton(m) for m in mixed], None, None, None)):
+            for t, f, r, v in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                form, found = marks(v, count) if v else (v, [])
+                if found:
+                    said = [{"original": w, "skeleton": skeleton(w), "house": h, "mixed": m} for w, h, m in found]
+                    for k, x in zip(names, (kind, t, f, r, form, said, None, None, None)):
                         out[k].append(x)
             for word, n in count.items():
-                for k, x in zip(names, (None, None, None, None, None, None, None, word, skeleton(word), n)):
+                for k, x in zip(names, (kind, None, None, None, None, None, word, skeleton(word), n)):
                     out[k].append(x)
             yield out
 
@@ -154,38 +221,36 @@ def scan(values: DataFrame, reading: bool) -> DataFrame:
 def departures(texts: DataFrame, readings: DataFrame) -> DataFrame:
     """(tbl, field, rec_id, form) of every value that is not in consistent form.
 
-    Both inputs are (tbl, field, rec_id, value). Null and empty values are never cases. A word of mixed scripts departs if its
-    skeleton group has an original in one script anywhere in the texts; the most frequent one (then the smallest) is its form.
-    Latin words with Greek or Cyrillic letters depart without one, too. Look-alikes in kanji and hiragana words are not searched for.
-    Ambiguous look-alikes at a word's ends (a numeral after a katakana word) therefore only count with such evidence.
+    Both inputs are (tbl, field, rec_id, value). Null and empty values are never cases. A value is a case if the skeleton of one of its words
+    belongs to another original than the word itself: where the prototypes leave one house form, to that form; where they leave several (a
+    kanji or a katakana sign), to the most frequent original in one script that has the same skeleton anywhere in the texts, then the smallest.
+    Ambiguous look-alikes (a numeral after a katakana word) therefore only count with such evidence. Digits and letters are kept apart, and a
+    single katakana sign between kanji counts only as part of a kanji word of the texts.
     """
-    found = materialize(scan(texts, False).unionByName(scan(readings, True)))
-    rows = found.where("tbl IS NOT NULL")
-    suspects = rows.where(F.size("mixed") > 0).select("tbl", "field", "rec_id", F.explode(F.arrays_zip(F.col("mixed").alias("mixed"), F.col("skeletons").alias("skeleton"))).alias("_m")).select("tbl", "field", "rec_id", "_m.mixed", "_m.skeleton")
-    wanted = suspects.select("skeleton").distinct()
-    pure = found.where("word IS NOT NULL").groupBy("skeleton", "word").agg(F.sum("n").alias("n")).join(wanted, "skeleton", "left_semi")
-    house = pure.groupBy("skeleton").agg(F.max_by("word", F.struct(F.col("n"), F.col("word"))).alias("house"))
-    # Latin words with Greek or Cyrillic letters are cases of themselves; a word in one of these scripts is none.
-    clear = F.when(F.col("mixed").rlike(f"[{_WIDE}]") & F.col("mixed").rlike(f"[{FOREIGN}]"), F.translate("mixed", FOREIGN, _LATIN))
-    suspects = suspects.join(house, "skeleton", "left").withColumn("house", F.coalesce("house", clear)).where("house IS NOT NULL")
-    fixes = suspects.groupBy("tbl", "field", "rec_id").agg(F.sort_array(F.collect_set(F.struct(F.length("mixed").alias("k"), "mixed", "house")), asc=False).alias("fixes"))
-    both = rows.join(fixes, ["tbl", "field", "rec_id"], "left").where("differs OR fixes IS NOT NULL")
-    form = F.expr("aggregate(coalesce(fixes, array()), form, (text, x) -> replace(text, x.mixed, x.house))")
-    return both.select("tbl", "field", "rec_id", form.alias("form"))
-
-
-def skeleton_groups(values: DataFrame, value: str) -> DataFrame:
-    """(skeleton, originals, members, house): distinct values that look the same, the consistent one first.
-
-    Only groups of several originals come out; null and empty values belong to none. The originals of a group are distinct spellings, not rows.
+    found = materialize(scan(texts, "word").unionByName(scan(readings, "reading")))
+    suspects = found.where("tbl IS NOT NULL").select("kind", "tbl", "field", "rec_id", "form", F.inline("originals"))
+    wanted = suspects.where("house IS NULL").select("kind", "skeleton").distinct()
+    pure = found.where("tbl IS NULL").groupBy("kind", "skeleton", "word").agg(F.sum("n").alias("n")).join(wanted, ["kind", "skeleton"], "left_semi")
+    house = pure.groupBy("kind", "skeleton").agg(F.max_by("word", F.struct(F.col("n"), F.col("word"))).alias("told"))
+    # Only what the prototypes leave open meets the originals, each skeleton once.
+    told = suspects.where("house IS NULL").select("kind", "skeleton", "original").distinct().join(house, ["kind", "skeleton"]).where("told <> original").select("kind", "original", "told")
+    named = suspects.where("house IS NULL").join(told, ["kind", "original"]).withColumn("house", F.col("told")).drop("told")
+    departing = suspects.where("house <> original").select(*suspects.columns).unionByName(named.select(*suspects.columns))
+    fix = F.when(F.col("mixed") | (F.col("kind") == "reading"), F.struct(F.length("original").alias("k"), "original", "house"))
+    rows = departing.groupBy("kind", "tbl", "field", "rec_id", "form").agg(F.sort_array(F.collect_set(fix), asc=False).alias("fixes"))
+    text = F.expr("aggregate(fixes, form, (text, x) -> replace(text, x.original, x.house))")
+    return rows.select("tbl", "field", "rec_id", F.when(F.col("kind") == "reading", F.element_at("fixes", 1).getField("house")).otherwise(text).alias("form"))
+
+
+def skeleton_groups(texts: DataFrame, readings: DataFrame) -> DataFrame:
+    """(kind, skeleton, originals, members, house): words of the texts, and readings, that look the same.
+
+    Only groups of several originals come out: their number, how often they stand all together, and the one in consistent form that stands most
+    often, or null. Null and empty values belong to no group; a word that is in doubt at its ends (a numeral after it) is counted with and without them.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            yield {"value": texts, "n": batch.column(1).to_pylist(), "skeleton": [skeleton(v) for v in texts], "house": [reading_form(v) for v in texts]}
-
-    distinct = values.select(F.col(value).cast("string").alias("value")).where("value IS NOT NULL AND value <> ''").groupBy("value").agg(F.count("*").alias("n"))
-    marked = map_batches(distinct, run, "value string, n long, skeleton string, house string")
-    best = F.struct((F.col("house") == F.col("value")).cast("int"), "n", "value")
-    return marked.groupBy("skeleton").agg(F.count("*").alias("originals"), F.sum("n").alias("members"), F.max_by("house", best).alias("house")).where("originals > 1")
+    found = materialize(scan(texts, "word").unionByName(scan(readings, "reading")))
+    pure = found.where("tbl IS NULL").select("kind", "skeleton", F.col("word").alias("original"), "n", F.lit(True).alias("fine"))
+    other = found.where("tbl IS NOT NULL").select("kind", F.inline("originals")).groupBy("kind", "skeleton", "original").agg(F.count("*").alias("n")).withColumn("fine", F.lit(False))
+    spelt = pure.unionByName(other).groupBy("kind", "skeleton", "original").agg(F.sum("n").alias("n"), F.max("fine").alias("fine"))
+    best = F.when(F.col("fine"), F.struct("n", "original"))
+    return spelt.groupBy("kind", "skeleton").agg(F.count("*").alias("originals"), F.sum("n").alias("members"), F.max(best).getField("original").alias("house")).where("originals > 1")

@@ -26,10 +26,14 @@ def _values(spark: SparkSession, sf_dir: str, name: str, field: str, rec: str) -
     return table(spark, sf_dir, name).select(F.lit(name).alias("tbl"), F.lit(field).alias("field"), F.col(rec).cast("long").alias("rec_id"), F.col(field).cast("string").alias("value"))
 
 
+def _texts_and_readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    readings = _values(spark, sf_dir, "speech", "speaker_yomi", "row_id").unionByName(_values(spark, sf_dir, "politician", "name_kana", "id"))
+    return _values(spark, sf_dir, "speech", "body", "row_id"), readings
+
+
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value that departs from the consistent form, in that form."""
-    readings = _values(spark, sf_dir, "speech", "speaker_yomi", "row_id").unionByName(_values(spark, sf_dir, "politician", "name_kana", "id"))
-    return departures(_values(spark, sf_dir, "speech", "body", "row_id"), readings)
+    return departures(*_texts_and_readings(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +41,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings that look the same, grouped by skeleton."""
-    readings = table(spark, sf_dir, "speech").select("speaker_yomi").unionByName(table(spark, sf_dir, "politician").select(F.col("name_kana").alias("speaker_yomi")))
-    return skeleton_groups(readings, "speaker_yomi")
+    """Words of all bodies, and readings of speakers and politicians, that look the same, grouped by skeleton."""
+    return skeleton_groups(*_texts_and_readings(spark, sf_dir))
 
 
 def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,8 +157,26 @@ def test_departures(spark):
     got = {(r.field, r.rec_id): r.form for r in C.departures(texts, readings).collect()}
     assert got == {("body", 2): "データを使う", ("body", 5): "ＡＩの活用", ("body", 6): "データ", ("kana", 2): "サメマツ"}
     assert C.departures(texts.limit(0), readings.limit(0)).count() == 0
-    groups = C.skeleton_groups(spark.createDataFrame([("へり",), ("ヘり",), ("へり",), (None,)], "v string"), "v").collect()
-    assert [(r.originals, r.members, r.house) for r in groups] == [(2, 3, "へり")]
+    groups = C.skeleton_groups(texts, texts.limit(0)).collect()
+    assert ("word", 3, 4, "データ") in {(g.kind, g.originals, g.members, g.house) for g in groups}
+
+
+@pytest.mark.parametrize("text, mixed", [("協カを", [("協カ", None)]), ("人ロが", [("人ロ", None)]), ("すべリだ", [("べリ", None), ("べリだ", "べりだ")]), ("道路ヘリ", []), ("データ一件", [("データ一", None)]), ("デ―タを", [("デ―タ", None)]), ("ＱＡΙの", [("ＱＡΙ", "ＱＡＩ")]), ("カの一", []), ("協カエ事", []), ("ベリー", [])])
+def test_words_of_mixed_scripts(text, mixed):
+    assert C.words_of(text)[1] == mixed
+
+
+@pytest.mark.parametrize("text, words", [("道路ﾃﾞｰﾀを", [("ﾃﾞｰﾀ", "データ")]), ("年金　制度、A I", [("A", "Ａ"), (" ", "　"), ("I", "Ｉ")]), ("し ゙ょうぶ", [("し ゙ょうぶ", "じょうぶ")]), ("道\u200b路だ", [("道\u200b路", "道路")]), ("", []), ("普通の文", [])])
+def test_originals(text, words):
+    assert C.originals_of(text) == words
+
+
+def test_ambiguous_words_go_by_their_skeleton_group(spark):
+    bodies = [(1, "協力と人口"), (2, "協カの人"), (3, "人ロの数"), (4, "未知カの数"), (5, "デ－タとデータ"), (6, "すべリだ")]
+    texts = spark.createDataFrame([("speech", "body", i, b) for i, b in bodies], "tbl string, field string, rec_id long, value string")
+    readings = spark.createDataFrame([("p", "kana", 1, "八二"), ("p", "kana", 2, "ハニ"), ("p", "kana", 3, "三"), ("p", "kana", 4, "ﾍﾘ"), ("p", "kana", 5, "へり")], texts.schema)
+    got = {(r.field, r.rec_id): r.form for r in C.departures(texts, readings).collect()}
+    assert got == {("body", 2): "協力の人", ("body", 3): "人口の数", ("body", 5): "データとデータ", ("body", 6): "すべりだ", ("kana", 1): "ハニ", ("kana", 4): "ヘリ"}
 
 
 def test_latin_words_with_foreign_letters_need_no_original(spark):
@@ -169,9 +187,9 @@ def test_latin_words_with_foreign_letters_need_no_original(spark):
 def test_groups_hold_the_politicians_readings_too(spark, tmp_path):
     from speechmill.llm.queries import p5_groups
 
-    spark.createDataFrame([("へりの",)], "speaker_yomi string").write.parquet(f"{tmp_path}/speech.parquet")
-    spark.createDataFrame([("ヘりの",)], "name_kana string").write.parquet(f"{tmp_path}/politician.parquet")
-    assert [(r.originals, r.members, r.house) for r in p5_groups(spark, str(tmp_path)).collect()] == [(2, 2, "へりの")]
+    spark.createDataFrame([(1, "へりの", "協力と協カ")], "row_id long, speaker_yomi string, body string").write.parquet(f"{tmp_path}/speech.parquet")
+    spark.createDataFrame([(1, "ヘりの")], "id int, name_kana string").write.parquet(f"{tmp_path}/politician.parquet")
+    assert sorted((r.kind, r.originals, r.members, r.house) for r in p5_groups(spark, str(tmp_path)).collect()) == [("reading", 2, 2, "へりの"), ("word", 2, 2, "協力")]
 
 
 # --- Problem 7
