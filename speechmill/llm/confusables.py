@@ -72,10 +72,14 @@ class _House(dict):
 
 _HOUSE = _House()
 _GAP = re.compile("　+(?=[゙゚])")
+#: Text of these characters alone is in that form: most texts are.
+_FINE = re.compile("[ぁ-ゖァ-ヺー一-鿿々Ａ-Ｚａ-ｚ０-９　\n。、．，「」『』（）・：；！？％■-◿〇]*\\Z")
 
 
 def composed(text: str) -> str:
     """Composed full-width kana, full-width letters and digits, ordinary kanji, U+3000 the only blank, nothing invisible."""
+    if _FINE.match(text):
+        return text
     text = text.translate(_HOUSE)
     if "゙" in text or "゚" in text:
         text = _GAP.sub("", text)
@@ -87,9 +91,9 @@ _KATA = "ァ-ヺー"
 _HAN = "一-鿿々"
 _LIKE = "".join(KANJI_LIKE)
 _WORDS = re.compile(f"[ァ-ヺ](?:[{_KATA}{KANJI}{SAME_SHAPE}]|[{DASHES}](?=[ァ-ヺ]))+|[{_KATA}{KANJI}{SAME_SHAPE}]{{2,}}|[{_WIDE}{FOREIGN}]*[{FOREIGN}][{_WIDE}{FOREIGN}]*|[{_WIDE}]{{2,}}")
-_KANJI_WORDS = re.compile(f"(?<![{_KATA}{_HAN}])[{_HAN}{_LIKE}]{{2,}}+(?![{_KATA}])")
+_KANJI_WORDS = re.compile(f"(?<![{_KATA}{_HAN}])(?=[{_HAN}]*[{_LIKE}{KANJI}])[{_HAN}{_LIKE}]{{2,}}+(?![{_KATA}])")
 _ONE_SIGN = re.compile(f"(?:[{_HAN}]|(?<![{_LIKE}])[{_LIKE}](?![{_LIKE}]))+\\Z")
-_HIRAGANA_WORDS = re.compile(f"(?<![{_KATA}])(?:(?<=[ぁ-ゖ])[{''.join(HIRAGANA_LIKE)}](?![{_KATA}])|[{''.join(HIRAGANA_LIKE)}](?=[ぁ-ゖ]))")
+_HIRAGANA_WORDS = re.compile(f"[{''.join(HIRAGANA_LIKE)}](?![{_KATA}])(?<![{_KATA}].)(?:(?<=[ぁ-ゖ].)|(?=[ぁ-ゖ]))")
 _KATAKANA = re.compile("[ァ-ヺー]")
 _PURE_KATAKANA = re.compile("[ァ-ヺー]+\\Z")
 _PURE_WIDE = re.compile(f"[{_WIDE}]+\\Z")
@@ -118,8 +122,7 @@ def words_of(text: str) -> tuple[list[str], list[tuple[str, str | None]]]:
             mixed += {(w, None) for w in (word, right, left, right.lstrip(_EDGE)) if len(w) > 1 and not _PURE_KATAKANA.match(w)}
     for word in _KANJI_WORDS.findall(text):
         if not _KATAKANA.search(word):
-            if _HAS_KANJI.search(word):
-                pure.append(word)
+            pure.append(word)
         elif _ONE_SIGN.match(word) and any("一" <= c <= "鿿" for c in word):
             mixed.append((word, None))
     for m in _HIRAGANA_WORDS.finditer(text):
