@@ -2,10 +2,12 @@
 
 import collections
 import datetime as dt
+import pathlib
 import random
 import re
 import unicodedata
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,11 +411,34 @@ def test_places():
 # --- Problem 9
 
 
-def test_model_is_the_trained_one_and_accurate():
-    accuracy = pii_train.accuracy(pii.model(), seed=1234, sentences=800)
-    assert all(p >= 0.97 and r >= 0.96 for p, r in accuracy.values()), accuracy
-    again = pii_train.train(sentences=500, passes=2)
-    assert all(p >= 0.9 and r >= 0.9 for p, r in pii_train.accuracy(again, 5, 400).values())
+def test_model_is_accurate_on_frames_it_was_not_trained_on():
+    assert not {f for fs in pii_train.TRAIN.values() for f in fs} & {f for fs in pii_train.HELD.values() for f in fs}
+    accuracy = pii_train.accuracy(pii.model(), seed=1234, sentences=1_500)
+    assert all(p >= 0.93 and r >= 0.9 for p, r in accuracy.values()), accuracy
+    again = pii_train.train(sentences=1_500, passes=2)
+    assert all(p >= 0.85 and r >= 0.8 for p, r in pii_train.accuracy(again, 5, 600).values())
+
+
+def test_no_frame_is_taken_from_the_documents():
+    path = pathlib.Path("/root/testdata/sf0.1/documents.parquet")
+    if not path.exists():
+        pytest.skip("no documents")
+    texts = "\n".join(pq.read_table(path, columns=["text"]).column(0).to_pylist())
+    literals = {x.strip() for frames in (pii_train.TRAIN, pii_train.HELD) for fs in frames.values() for f in fs for x in re.split(r"\{\w+\}", f)}
+    assert not [x for x in literals if len(x) >= 4 and x in texts]
+
+
+@pytest.mark.parametrize("text, name", [("その席には鴫谷　勝馬がいた", None), ("翌日は鴫谷さんが来た", "鴫谷"), ("届いたなぎもりなつた様の荷", "なぎもりなつた"), ("ナギモリ・ナツタ氏の話", "ナギモリ・ナツタ"), ("a note from Karisa Tomano about it", "Karisa Tomano"), ("世帯主：槌森直人", "槌森直人"), ("Mr Karisa Tomano left", "Karisa Tomano")])
+def test_names_without_a_known_frame(text, name):
+    spans = {text[s:e] for s, e, k, _ in pii.candidates(text) if k == "name"}
+    assert (name or "鴫谷　勝馬") in spans
+    if name:
+        assert [text[s:e] for s, e, _ in pii.find(text)] == [name]
+
+
+def test_long_addresses_are_found_whole():
+    mail = "a" * 60 + "@" + ".".join(["b" * 50] * 4) + ".example"
+    assert [(s, e, k) for s, e, k in pii.find("回答は" + mail + "へ")] == [(3, 3 + len(mail), "email")]
 
 
 def test_decoding_is_the_best_of_all_sets():
