@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import materialize, small_enough
 from .arrow import map_batches, spread
@@ -18,6 +19,8 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 CAPACITY = 2_048
 #: Windows that a task keeps open.
 OPEN_WINDOWS = 64
+#: About so many texts are packed by one task.
+PART_TEXTS = 50_000
 #: Texts tokenized in one call.
 AT_ONCE = 128
 #: Leftover windows that one task merges.
@@ -71,18 +74,22 @@ def pack(docs: DataFrame, doc_id: str, doc_text: str, tokenizer: str = TOKENIZER
     """(container_id, seat, doc_id, piece, first_token, n_tokens): every text in one container, ``seat`` tokens from its start.
 
     A text is cut only if it alone exceeds the capacity: into full containers and a rest. Null texts have no row, empty ones a piece
-    of no tokens, repeated rows a place each. Every partition packs by itself with a fixed number of open windows; what is still open
-    at its end is then packed as whole windows, the fullest first, by a task for every so many of them.
+    of no tokens, repeated rows a place each. Texts are counted where they lie; then the numbers alone, in an order that follows from the texts,
+    are packed in parts of ``PART_TEXTS`` with a fixed number of open windows each, so the layout depends on the texts and not on the cluster.
+    What is still open at the end of a part is packed as whole windows, the fullest first, by a task for every so many of them.
     """
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         count = token_counter(tokenizer)
+        for batch in batches:
+            yield {"doc_id": batch.column(0).to_pylist(), "key": batch.column(1).to_pylist(), "n": count(batch.column(2).to_pylist())}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         windows = Windows(capacity, open_windows, TaskContext.get().partitionId() << 36)
         names = ["doc_id", "piece", "first_token", "n_tokens", "window", "seat", "filled"]
         for batch in batches:
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: dict[str, list] = {k: [] for k in names}
-            for doc, n in zip(docs_, count(texts)):
+            for doc, n in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist()):
                 piece = at = 0
                 while True:
                     size = min(capacity, n - at)
@@ -99,7 +106,10 @@ def pack(docs: DataFrame, doc_id: str, doc_text: str, tokenizer: str = TOKENIZER
 
     schema = "doc_id long, piece int, first_token int, n_tokens int, window long, seat int, filled int"
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("_text")).where("_text IS NOT NULL")
-    placed = materialize(map_batches(spread(texts, "doc_id"), place, schema))
+    texts = texts.select("doc_id", F.xxhash64("doc_id", "_text").alias("key"), "_text")
+    counted = materialize(map_batches(spread(texts, "doc_id"), sizes, "doc_id long, key long, n int"))
+    parts = max(1, -(-counted.count() // PART_TEXTS))
+    placed = materialize(map_batches(counted.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "n"), place, schema))
     left = placed.where("filled IS NOT NULL").select("window", "filled")
     n = left.count()
 
@@ -124,6 +134,16 @@ def pack(docs: DataFrame, doc_id: str, doc_text: str, tokenizer: str = TOKENIZER
     return items.select(F.coalesce("into", "window").alias("container_id"), (F.col("seat") + F.coalesce("shift", F.lit(0))).alias("seat"), "doc_id", "piece", "first_token", "n_tokens")
 
 
+def placed_texts(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, copies, faults): how often each text was placed, and how many of its pieces overlap another, lie outside their container, leave a
+    part of the text out, or were cut without need."""
+    by = Window.partitionBy("container_id").orderBy("seat", "n_tokens")
+    ends = packed.withColumn("_end", F.col("seat") + F.col("n_tokens")).withColumn("_before", F.max("_end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    fault = (F.col("seat") < F.coalesce("_before", F.lit(0))) | (F.col("_end") > capacity) | (F.col("first_token") != F.col("piece") * capacity)
+    short = F.sum(F.when((F.col("piece") > 0) & (F.col("n_tokens") < 1), 1).otherwise(0))
+    return ends.groupBy("doc_id").agg(F.sum(F.when(F.col("piece") == 0, 1).otherwise(0)).alias("copies"), (F.sum(fault.cast("int")) + short).alias("faults"))
+
+
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(container_id, items, tokens, unused) of each container."""
     return packed.groupBy("container_id").agg(F.count("*").alias("items"), F.sum("n_tokens").alias("tokens")).withColumn("unused", capacity - F.col("tokens"))

@@ -9,7 +9,7 @@ from ..session import table
 from .confusables import departures, skeleton_groups
 from .contamination import COVERAGE, cleaned, leaked
 from .linkage import link_speakers
-from .packing import fill, pack
+from .packing import fill, pack, placed_texts
 from .pii import personal_information, redact
 from .terms import term_frequencies
 
@@ -71,6 +71,11 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(p7_containers(spark, sf_dir))
 
 
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document was placed, and what is wrong with its places."""
+    return placed_texts(p7_containers(spark, sf_dir))
+
+
 def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each member's speech without politician_id with the politician found, also those without wikidata_id."""
     speech = table(spark, sf_dir, "speech").select("row_id", "date", "speaker", "speaker_yomi", "speaker_group", "speaker_kind", "politician_id")
@@ -95,7 +100,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p9_spans": p9_spans, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_matches": p4_matches, "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {"p9_spans": p9_spans, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_matches": p4_matches, "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_placed": p7_placed, "p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
 
 _TERMS = """
 WITH latest AS (
@@ -107,6 +112,7 @@ WITH latest AS (
 SELECT term{counts}, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.1 * (SELECT count(*) FROM latest) THEN 'common' END AS mark FROM counted{only}"""
 
 ORACLES = {
+    "p7_placed": "SELECT doc_id, count(*) AS copies, 0 AS faults FROM documents WHERE text IS NOT NULL GROUP BY doc_id",
     "p1_terms": _TERMS.format(counts=", occurrences, records", only=""),
     "p1_found": _TERMS.format(counts="", only=" WHERE records <= 2 OR records > 0.1 * (SELECT count(*) FROM latest)"),
 }

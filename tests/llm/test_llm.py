@@ -221,6 +221,22 @@ def test_packing_round_trip(spark):
     assert cut == {i for i, t in texts if t and len(t) > 30_000}
 
 
+def test_the_layout_does_not_depend_on_the_cluster(spark, monkeypatch):
+    r = random.Random(18)
+    df = spark.createDataFrame([(i, "予算" * r.randrange(1, 900)) for i in range(300)], "doc_id long, text string")
+    monkeypatch.setattr(P, "PART_TEXTS", 90)
+    monkeypatch.setattr(P, "MERGE_WINDOWS", 20)
+    a, b = (sorted(tuple(x) for x in P.pack(df.repartition(n), "doc_id", "text", open_windows=8).collect()) for n in (3, 11))
+    assert a == b and len({x[0] for x in a}) > 10
+    assert {(x.copies, x.faults) for x in P.placed_texts(P.pack(df, "doc_id", "text")).collect()} == {(1, 0)}
+
+
+def test_wrong_places_are_faults(spark):
+    rows = [(1, 0, 1, 0, 0, 10), (1, 5, 2, 0, 0, 10), (2, 2040, 3, 0, 0, 20), (3, 0, 4, 1, 7, 5)]
+    df = spark.createDataFrame(rows, "container_id long, seat int, doc_id long, piece int, first_token int, n_tokens int")
+    assert {x.doc_id: (x.copies, x.faults) for x in P.placed_texts(df).collect()} == {1: (1, 0), 2: (1, 1), 3: (1, 1), 4: (0, 1)}
+
+
 def test_packing_nothing_and_other_tokenizer(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert P.pack(empty, "doc_id", "text").count() == 0
