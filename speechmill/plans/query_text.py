@@ -12,46 +12,55 @@ MAX_TERMS = 16
 MAX_TERM_LENGTH = 64
 MAX_INPUT_LENGTH = MAX_TERMS * (MAX_TERM_LENGTH + 1)
 
-_WIDE = str.maketrans(ASCII_ALNUM, WIDE_ALNUM)
-_KEY = str.maketrans(WIDE_LOWER, WIDE_UPPER)
-_BLANK = re.compile(r"[\s　]+")
-_CLASSES = [re.compile("[一-鿿々]"), re.compile("[ァ-ヴー]"), re.compile("[Ａ-Ｚａ-ｚ０-９]")]
+#: What the indexes can find: anything of three characters, or two of one class of runs.
+_FINDABLE = re.compile("[一-鿿々]{2}|[ァ-ヴー]{2}|[Ａ-Ｚａ-ｚ０-９]{2}|.{3,}", re.DOTALL)
+_GAPS = re.compile("([\\s　]+)")
+_TO_WIDE = dict(zip(map(ord, ASCII_ALNUM), WIDE_ALNUM))
+_TO_KEY = dict(zip(map(ord, WIDE_LOWER), WIDE_UPPER))
 
 
 def to_full_width(text: str) -> str:
-    return text.translate(_WIDE)
+    return text.translate(_TO_WIDE)
 
 
 def to_word_key(term: str) -> str:
-    return term.translate(_KEY)
+    return term.translate(_TO_KEY)
+
+
+def _as_key(term: str) -> str:
+    """A term as it is looked up: short ones by their index key, others as they are."""
+    return to_word_key(term) if len(term) <= 2 else term
+
+
+def _pieces(text: str) -> list[str]:
+    """Terms and the blanks between them in turn, terms first and last, within the limits."""
+    pieces = _GAPS.split(text)
+    if sum(map(bool, pieces[::2])) <= MAX_TERMS and max(map(len, pieces[::2])) <= MAX_TERM_LENGTH:
+        return pieces
+    kept = [t[:MAX_TERM_LENGTH] for t in pieces[::2] if t]
+    return _GAPS.split(" ".join(kept[:MAX_TERMS]))
 
 
 def split_terms(text: str) -> list[str]:
     """Full-width terms, at most sixteen of at most 64 characters."""
-    return [t[:MAX_TERM_LENGTH] for t in _BLANK.split(to_full_width(text)) if t][:MAX_TERMS]
+    return list(filter(None, _pieces(to_full_width(text))[::2]))
 
 
 def canonical_query(text: str) -> str:
     """What is shown for a query: clamped, full width, terms shorter than three as index keys, blanks as typed."""
-    text = text[:MAX_INPUT_LENGTH]
-    terms = [t for t in _BLANK.split(text) if t]
-    if len(terms) > MAX_TERMS or any(len(t) > MAX_TERM_LENGTH for t in terms):
-        text = " ".join(t[:MAX_TERM_LENGTH] for t in terms[:MAX_TERMS])
-    return re.sub(r"[^\s　]+", lambda m: to_word_key(m[0]) if len(m[0]) < 3 else m[0], to_full_width(text))
+    pieces = _pieces(text[:MAX_INPUT_LENGTH])
+    pieces[::2] = [_as_key(to_full_width(t)) for t in pieces[::2]]
+    return to_full_width("".join(pieces))
 
 
 def probe_keys(terms: list[str]) -> list[str]:
     """Index keys whose frequencies the plan needs."""
-    return [to_word_key(t) for t in terms if len(t) < 3]
+    return [_as_key(t) for t in terms if len(t) <= 2]
 
 
 def unsearchable_terms(terms: list[str]) -> list[str]:
-    """Terms that no index path can ever find: one character, or two that are not in one run class."""
-
-    def kind(c: str) -> int:
-        return next((i for i, r in enumerate(_CLASSES) if r.fullmatch(c)), -1)
-
-    return [t for t in terms if len(t) == 1 or len(t) == 2 and (kind(t[0]) < 0 or kind(t[0]) != kind(t[1]))]
+    """Terms that no index path can ever find."""
+    return [t for t in terms if not _FINDABLE.fullmatch(t)]
 
 
 @dataclass(frozen=True)
@@ -66,15 +75,13 @@ class Plan:
 
 
 def word_plan(terms: list[str], counts: dict[str, int]) -> Plan:
-    """Substring search if every term has three characters, else from the rarest short term, the rest as filters."""
-    if not terms:
-        return Plan("word")
-    short = [i for i, t in enumerate(terms) if len(t) < 3]
-    if not short:
-        return Plan("fts", terms=tuple(terms))
-    keys = [to_word_key(t) if len(t) < 3 else t for t in terms]
-    driver = min(short, key=lambda i: counts.get(keys[i], 0))
-    return Plan("word", driver=keys[driver], filters=tuple(k for i, k in enumerate(keys) if i != driver))
+    """Substring search if every term has three characters, else from the rarest short term (the first of equally rare ones), the rest as filters."""
+    keys = [_as_key(t) for t in terms]
+    by_rarity = sorted((counts.get(k, 0), place) for place, k in enumerate(keys) if len(k) <= 2)
+    if by_rarity:
+        lead = by_rarity[0][1]
+        return Plan("word", driver=keys[lead], filters=(*keys[:lead], *keys[lead + 1 :]))
+    return Plan("fts", terms=tuple(keys)) if keys else Plan("word")
 
 
 def match_topic(text: str, topics: list[dict]) -> int | None:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import ASCII_ALNUM, BLANKS, HIRAGANA, INVISIBLE, KATAKANA, RUN_PATTERN, SINGLE, VOICED, WIDE_ALNUM, WIDE_LOWER, WIDE_UPPER
 from ..operators.facts import latest_rows, number_in_periods, period_stats
-from ..operators.postings import bigram_postings, document_frequency
-from ..plans.search import population
+from ..operators.postings import bigram_postings, document_frequency, letter_postings, posting_lists, topic_postings
+from ..operators.quality import month_bounds
+from ..plans.search import Index, population
 from ..session import table
 from ..sources.store import stored
 
@@ -41,6 +42,14 @@ def bigram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, "bigram_df", sf_dir, lambda: document_frequency(bigram_postings(members(spark, sf_dir), ["period"]), ["period", "term"]), "period", ["term"])
 
 
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """Everything that searches look up, written once."""
+    keep = ["period", "rowid"]
+    lists = {name: stored(spark, name, sf_dir, lambda build=build: posting_lists(build(members(spark, sf_dir), keep)), "period", ["term"]) for name, build in (("pairs", bigram_postings), ("letters", letter_postings))}
+    topics = stored(spark, "topics", sf_dir, lambda: topic_postings(members(spark, sf_dir), TOPICS, keep), "period", ["topic_id", "rowid"])
+    return Index(lists["pairs"], lists["letters"], topics, bigram_df(spark, sf_dir), stored(spark, "bounds", sf_dir, lambda: month_bounds(facts(spark, sf_dir))))
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_stats(facts(spark, sf_dir), meetings(spark, sf_dir))
 

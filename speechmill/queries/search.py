@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,9 +12,9 @@ from ..operators import quality as Q
 from ..operators.postings import bigram_postings, document_frequency, topic_postings, topic_table
 from ..operators.series import speech_totals, trend_mode
 from ..plans import search as S
-from ..plans.query_text import Plan, split_terms, word_plan
+from ..plans.query_text import Plan, split_terms, unsearchable_terms, word_plan
 from ..session import table
-from .base import FACTS, HITS, TOPICS, bigram_df, facts, meetings, members, sql_fold, stats, with_facts
+from .base import FACTS, HITS, TOPICS, bigram_df, facts, index, meetings, members, sql_fold, stats, with_facts
 
 FTS = Plan("fts", terms=tuple(split_terms("老朽化 データ")))
 SDGS = Plan("fts", terms=tuple(split_terms("sdgs")))
@@ -22,20 +22,25 @@ WORD = Plan("word", driver="年金", filters=("データ",))
 TOPIC = Plan("topic", topic=3)
 
 
+def _asked(spark, sf_dir, plan, options=S.Options()):
+    return facts(spark, sf_dir), meetings(spark, sf_dir), options, plan, TOPICS, index(spark, sf_dir)
+
+
 def _hits(spark, sf_dir, plan, options=S.Options()):
-    return S.hits(facts(spark, sf_dir), meetings(spark, sf_dir), options, plan, TOPICS)
+    return S.hits(*_asked(spark, sf_dir, plan, options))
 
 
 def _page(plan, options, spark, sf_dir):
-    return S.result_rows(S.page(_hits(spark, sf_dir, plan, options), options), meetings(spark, sf_dir), plan, TOPICS).drop("snippet").withColumn("politician_id", F.coalesce("politician_id", F.lit(0)))
+    rows = S.result_rows(S.page_hits(*_asked(spark, sf_dir, plan, options)), meetings(spark, sf_dir), plan, TOPICS)
+    return rows.withColumn("politician_id", F.coalesce("politician_id", F.lit(0)))
 
 
 def _count(plan, options, spark, sf_dir):
-    return S.count(_hits(spark, sf_dir, plan, options))
+    return S.count_hits(*_asked(spark, sf_dir, plan, options))
 
 
 def _months(plan, options, spark, sf_dir):
-    return S.months(_hits(spark, sf_dir, plan, options))
+    return S.month_hits(*_asked(spark, sf_dir, plan, options))
 
 
 NONE = S.Options()
@@ -49,10 +54,20 @@ def search_in_meeting(spark, sf_dir):
     return S.months(_hits(spark, sf_dir, Plan("fts", terms=("データ",)), S.Options(meeting=name)))
 
 
-def search_word_indexed(spark, sf_dir):
-    """The same hits as search_word_months, by posting lookup."""
-    postings = bigram_postings(members(spark, sf_dir), ["period", "rowid"])
-    return S.months(S.hits(facts(spark, sf_dir), meetings(spark, sf_dir), NONE, WORD, TOPICS, postings))
+def search_word_scanned(spark, sf_dir):
+    """The same hits as search_word_months, from the texts alone."""
+    return S.months(S.hits(facts(spark, sf_dir), meetings(spark, sf_dir), NONE, WORD, TOPICS))
+
+
+def search_long_count(spark, sf_dir):
+    """Terms longer than the keys: the lists leave a doubt that the texts settle."""
+    return S.count_hits(*_asked(spark, sf_dir, Plan("fts", terms=("の老朽化", "データ"))))
+
+
+def search_bundled(spark, sf_dir):
+    """A query as typed, through topics, frequencies and plan to its hits by month."""
+    found = S.search_bundle(" 年金　データ", facts(spark, sf_dir), meetings(spark, sf_dir), bigram_df(spark, sf_dir), S.Options(), TOPICS, index(spark, sf_dir))
+    return found["months"].withColumn("shown", F.lit(found["query"]))
 
 
 def search_planned(spark, sf_dir):
@@ -63,7 +78,10 @@ def search_planned(spark, sf_dir):
 
 
 def search_impossible(spark, sf_dir):
-    return S.count(_hits(spark, sf_dir, Plan("word", driver="踏ま")))
+    """Terms of two characters taken from the texts across two scripts, as a user would type them: none is found on any path."""
+    typed = [r.t for r in members(spark, sf_dir).select(F.regexp_extract("body", "([一-鿿][ぁ-ん])", 1).alias("t")).where("t <> ''").groupBy("t").count().orderBy(F.desc("count"), "t").limit(5).collect()]
+    parts = [S.count_hits(*_asked(spark, sf_dir, word_plan([t], {}))).withColumn("term", F.lit(t)) for t in typed if unsearchable_terms([t])]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def search_offset(spark, sf_dir):
@@ -75,16 +93,29 @@ def search_by_period(spark, sf_dir):
 
 
 def search_walk(spark, sf_dir):
-    """All pages of a search, one after another, by the cursors of each: every hit once, in order."""
-    speech, meeting = facts(spark, sf_dir), meetings(spark, sf_dir)
-    periods = sorted((r.period for r in speech.select("period").distinct().collect()), reverse=True)
-    before, rows, done = {}, [], False
-    while not done:
-        page = S.search_page(speech, meeting, periods, S.Options(limit=25, before=before), FTS)
-        rows, before, done = rows + page.rows, page.before, page.done
+    """All pages of a search: every hit once, in order, with its page."""
+    return S.walk(_hits(spark, sf_dir, FTS), 25)
+
+
+def search_first_pages(spark, sf_dir):
+    """Three pages, one after another, by the cursors of each."""
+    periods = sorted((r.period for r in stats(spark, sf_dir).select("period").collect()), reverse=True)
+    before, rows = {}, []
+    for _ in range(3):
+        shown = S.search_page(facts(spark, sf_dir), meetings(spark, sf_dir), periods, S.Options(limit=25, before=before), FTS, TOPICS, index(spark, sf_dir))
+        rows, before = rows + shown.rows, shown.before
     return spark.createDataFrame([(k, p, r) for k, (p, r) in enumerate(rows)], "place int, period string, rowid long")
 
 
+def timeline_pages(spark, sf_dir):
+    """Two pages of a person's speeches in the periods between their first and last."""
+    person = facts(spark, sf_dir).where("politician_id = 1").agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    periods = S.active_periods(person.a, person.b, [r.period for r in stats(spark, sf_dir).select("period").collect()])
+    one = S.timeline_page(facts(spark, sf_dir), 1, periods, S.Options(limit=20))
+    two = S.timeline_page(facts(spark, sf_dir), 1, periods, S.Options(limit=20, before=one.before))
+    return spark.createDataFrame([(k, p, r) for k, (p, r) in enumerate(one.rows + two.rows)], "place int, period string, rowid long")
+
+
 def politician_timeline(spark, sf_dir):
     return S.timeline(facts(spark, sf_dir), 1, S.Options(limit=50))
 
@@ -200,12 +231,25 @@ QUERIES = {
     **{f"search_{n}_{kind}": partial(make, plan, NONE) for n, plan in (("fts", FTS), ("fold", SDGS), ("word", WORD), ("topic", TOPIC)) for kind, make in (("page", _page), ("count", _count), ("months", _months))},
     **{f"search_filtered_{n}": partial(_count, plan, FILTERED) for n, plan in (("fts", FTS), ("word", WORD), ("topic", TOPIC))},
     "search_page_2": partial(_page, TOPIC, PAGE_2),
-    **{f.__name__: f for f in (search_in_meeting, search_word_indexed, search_planned, search_impossible, search_offset, search_by_period, search_walk, politician_timeline, speech_detail, speech_context, context_frames, meeting_names, search_trend_mode, bigram_frequencies, bigram_letters, topic_hits, topic_frequencies, missing_topics, json_variants, topic_categories, topic_routes, check_arrival, check_bounds, check_all, check_faults, topics_indexed)},
+    **{f.__name__: f for f in (search_in_meeting, search_word_scanned, search_long_count, search_bundled, search_first_pages, timeline_pages, search_planned, search_impossible, search_offset, search_by_period, search_walk, politician_timeline, speech_detail, speech_context, context_frames, meeting_names, search_trend_mode, bigram_frequencies, bigram_letters, topic_hits, topic_frequencies, missing_topics, json_variants, topic_categories, topic_routes, check_arrival, check_bounds, check_all, check_faults, topics_indexed)},
 }
 
 _LOOSE = f"contains({sql_fold('body')}, '{{0}}') AND list_contains(list_transform(regexp_extract_all({sql_fold('body')}, '[一-鿿々]{{{{2,}}}}|[ァ-ヴー]{{{{2,}}}}|[Ａ-Ｚａ-ｚ０-９]{{{{2,}}}}'), lambda r: contains(r, '{{0}}')), true)".replace("{{0}}", "{0}").replace("{{{{", "{{").replace("}}}}", "}}")
 _WHERE = {"fts": "contains(lower(body), '老朽化') AND contains(lower(body), 'データ')", "fold": "contains(lower(body), 'ｓｄｇｓ')", "word": _LOOSE.format("年金") + " AND instr(body, 'データ') > 0", "topic": "(contains(body, '年金') OR contains(body, '年金制度'))"}
-_ROWS = " SELECT m.period, m.rowid, m.speech_id, m.issue_id, m.date, m.speaker, m.speaker_group, coalesce(m.politician_id, 0) AS politician_id, g.name AS meeting, g.house, g.session FROM (SELECT * FROM members WHERE {0} ORDER BY period DESC, rowid DESC LIMIT 20) m JOIN meeting g ON g.issue_id = m.issue_id"
+_FIRST = {"fts": ("老朽化", True), "fold": ("ｓｄｇｓ", True), "word": ("年金", False), "topic": ("年金", False)}
+
+
+def _sql_snippet(name: str) -> str:
+    """The snippet of a result row, for DuckDB: a plain window, or one with the hit marked."""
+    term, marked = _FIRST[name]
+    if not marked:
+        return f"substr(m.body, greatest(1, instr(m.body, '{term}') - 40), 160)"
+    at, n = f"instr(lower(m.body), '{term}')", len(term)
+    start = f"greatest(1, {at} - 12)"
+    return f"(CASE WHEN {start} > 1 THEN '…' ELSE '' END || substr(m.body, {start}, {at} - {start}) || chr(1) || substr(m.body, {at}, {n}) || chr(2) || substr(m.body, {at} + {n}, greatest(0, {start} + 26 - {at} - {n})) || CASE WHEN {start} + 26 <= length(m.body) THEN '…' ELSE '' END)"
+
+
+_ROWS = " SELECT m.period, m.rowid, m.speech_id, m.issue_id, m.date, m.speaker, m.speaker_group, coalesce(m.politician_id, 0) AS politician_id, g.name AS meeting, g.house, g.session, {1} AS snippet FROM (SELECT * FROM members WHERE {0} ORDER BY period DESC, rowid DESC LIMIT 20) m JOIN meeting g ON g.issue_id = m.issue_id"
 _BY_MONTH = " SELECT strftime(date, '%Y-%m') AS month, count(*) AS n FROM members WHERE {0} GROUP BY 1"
 _CUT = "politician_id = 1 AND period IN ('2021H1', '2021H2', '2022H1', '2023H1', '2023H2', '2024H1', '2024H2')"
 _GRAMS = f"grams AS (SELECT DISTINCT period, rowid, substr({sql_fold('run')}, CAST(i AS INT), 2) AS term FROM (SELECT period, rowid, unnest(regexp_extract_all(body, '[一-鿿々]{{2,}}|[ァ-ヴー]{{2,}}|[Ａ-Ｚａ-ｚ０-９]{{2,}}')) AS run FROM members), LATERAL (SELECT unnest(range(1, length(run))) AS i))"
@@ -214,18 +258,22 @@ _TOPICS = "topics AS (SELECT * FROM (VALUES " + ", ".join(f"({t['id']}, '{t['ter
 _DRIVER = "SELECT CASE WHEN (SELECT count(*) FROM members WHERE " + _LOOSE.format("ＡＩ") + ") <= (SELECT count(*) FROM members WHERE " + _LOOSE.format("年金") + ") THEN 'ＡＩ' ELSE '年金' END AS driver"
 
 ORACLES = {
-    **{f"search_{n}_page": with_facts(_ROWS.format(w)) for n, w in _WHERE.items()},
+    **{f"search_{n}_page": with_facts(_ROWS.format(w, _sql_snippet(n))) for n, w in _WHERE.items()},
     **{f"search_{n}_count": with_facts(f" SELECT count(*) AS n FROM members WHERE {w}") for n, w in _WHERE.items()},
     **{f"search_{n}_months": with_facts(_BY_MONTH.format(w)) for n, w in _WHERE.items()},
     **{f"search_filtered_{n}": with_facts(f" SELECT count(*) AS n FROM members WHERE {_WHERE[n]} AND {_CUT}") for n in ("fts", "word", "topic")},
-    "search_page_2": with_facts(_ROWS.format(_WHERE["topic"] + " AND NOT (period = '2026H1' AND rowid >= 1) AND NOT (period = '2025H2' AND rowid >= 120) AND period <> '2025H1'")),
+    "search_page_2": with_facts(_ROWS.format(_WHERE["topic"] + " AND NOT (period = '2026H1' AND rowid >= 1) AND NOT (period = '2025H2' AND rowid >= 120) AND period <> '2025H1'", _sql_snippet("topic"))),
     "search_in_meeting": with_facts(" SELECT strftime(date, '%Y-%m') AS month, count(*) AS n FROM members WHERE contains(body, 'データ') AND issue_id IN (SELECT issue_id FROM meeting WHERE name = (SELECT name FROM meeting GROUP BY name ORDER BY count(*) DESC, name LIMIT 1)) GROUP BY 1"),
-    "search_word_indexed": with_facts(_BY_MONTH.format(_WHERE["word"])),
+    "search_word_scanned": with_facts(_BY_MONTH.format(_WHERE["word"])),
+    "search_long_count": with_facts(" SELECT count(*) AS n FROM members WHERE contains(body, 'の老朽化') AND contains(body, 'データ')"),
+    "search_bundled": with_facts(" SELECT strftime(date, '%Y-%m') AS month, count(*) AS n, ' 年金　データ' AS shown FROM members WHERE " + _WHERE["word"] + " GROUP BY 1"),
+    "search_first_pages": with_facts(f" SELECT CAST(row_number() OVER (ORDER BY period DESC, rowid DESC) - 1 AS INT) AS place, period, rowid FROM members WHERE {_WHERE['fts']} QUALIFY place < 75"),
+    "timeline_pages": with_facts(" SELECT CAST(row_number() OVER (ORDER BY period DESC, rowid DESC) - 1 AS INT) AS place, period, rowid FROM facts WHERE politician_id = 1 QUALIFY place < 40"),
     "search_planned": with_facts(f" SELECT period, count(*) AS n, driver FROM members, ({_DRIVER}) d WHERE CASE WHEN driver = 'ＡＩ' THEN {_LOOSE.format('ＡＩ')} AND instr(body, '年金') > 0 ELSE {_LOOSE.format('年金')} AND instr(body, 'ＡＩ') > 0 END GROUP BY ALL"),
-    "search_impossible": "SELECT CAST(0 AS BIGINT) AS n",
+    "search_impossible": with_facts(f" SELECT t AS term, (SELECT count(*) FROM grams WHERE grams.term = x.t) AS n FROM (SELECT regexp_extract(body, '([一-鿿][ぁ-ん])', 1) AS t, count(*) AS k FROM members WHERE t <> '' GROUP BY 1 ORDER BY k DESC, t LIMIT 5) x", _GRAMS),
     "search_offset": with_facts(f" SELECT period, rowid FROM members WHERE {_WHERE['topic']} ORDER BY period DESC, rowid DESC LIMIT 20 OFFSET 80"),
     "search_by_period": with_facts(f" SELECT period, count(*) AS n FROM members WHERE {_WHERE['fts']} GROUP BY period"),
-    "search_walk": with_facts(f" SELECT CAST(row_number() OVER (ORDER BY period DESC, rowid DESC) - 1 AS INT) AS place, period, rowid FROM members WHERE {_WHERE['fts']}"),
+    "search_walk": with_facts(f" SELECT CAST(row_number() OVER (ORDER BY period DESC, rowid DESC) - 1 AS INT) AS place, CAST(floor((row_number() OVER (ORDER BY period DESC, rowid DESC) - 1) / 25) AS INT) AS page, period, rowid FROM members WHERE {_WHERE['fts']}"),
     "politician_timeline": with_facts(" SELECT period, rowid, speech_id, date, substr(body, 1, 160) AS head FROM facts WHERE politician_id = 1 ORDER BY period DESC, rowid DESC LIMIT 50"),
     "speech_detail": with_facts(" SELECT period, rowid, speech_id, body FROM one", _ONE),
     "speech_context": with_facts(" SELECT f.speech_id, f.speech_order, f.speaker, substr(f.body, 1, 140) AS head, CASE WHEN f.speech_order < o.speech_order THEN 'before' WHEN f.speech_order > o.speech_order THEN 'after' ELSE 'self' END AS side FROM facts f, one o WHERE f.issue_id = o.issue_id AND f.speech_order BETWEEN greatest(0, o.speech_order - 3) AND o.speech_order + 3", _ONE),

@@ -36,10 +36,13 @@ def test_small_functions(spark):
     assert (row.zero, row.five, row.j) == (0.0, 5.0, '{"a":"\\u003c/b>"}') and len(row.fp) == 16
 
 
-def test_topic_lists():
-    from speechmill.operators.postings import overlapping_forms, topic_changes, topic_problems
+def test_topic_lists(spark):
+    from speechmill.operators.postings import overlapping_forms, topic_changes, topic_problems, topic_table
 
     topics = [{"id": 1, "term": "年金", "variants": ["年金制度"]}, {"id": 2, "term": "お金", "variants": ["年金"]}, {"id": 2, "term": "道路"}, {"id": 9, "term": "鉄道"}]
-    assert topic_problems(topics, [9]) == [(2, "年金 also in 1"), (2, "term can't be searched"), (2, "id used twice"), (9, "id was retired"), (1, "年金 lies inside 年金制度")]
-    assert overlapping_forms(topics[2:]) == []
-    assert topic_changes(topics[:2], [topics[0], {"id": 2, "term": "現金"}, topics[3]]) == {"added": [9], "removed": [], "changed": [2]}
+    listed, retired = topic_table(spark, topics), spark.createDataFrame([(9,)], "id int")
+    got = {tuple(r) for r in topic_problems(listed, retired).collect()}
+    assert got == {(2, "年金 also in 1"), (2, "term can't be searched"), (2, "id used twice"), (9, "id was retired"), (1, "年金 lies inside 年金制度"), (2, "年金 lies inside 年金制度 of 1")}
+    assert overlapping_forms(topic_table(spark, topics[2:])).count() == 0
+    changed = topic_changes(topic_table(spark, topics[:2]), topic_table(spark, [topics[0], {"id": 2, "term": "現金"}, topics[3]]))
+    assert {tuple(r) for r in changed.collect()} == {(9, "added"), (2, "changed")}

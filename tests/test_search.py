@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechmill.operators.facts import number_in_periods
-from speechmill.operators.postings import bigram_postings
+from speechmill.operators.postings import bigram_postings, document_frequency, letter_postings, posting_lists, topic_postings
+from speechmill.operators.quality import month_bounds
 from speechmill.plans import search as S
 from speechmill.plans.query_text import Plan, split_terms, word_plan
 
@@ -51,12 +52,48 @@ def test_rows_count_months_agree(corpus, plan, filters):
         assert "politician" not in FILTERS[filters] or r.politician_id == 1
 
 
-def test_posting_lookup_is_the_same(corpus):
+@pytest.fixture(scope="module")
+def index(corpus):
+    members, keep = S.population(corpus[0]), ["period", "rowid"]
+    pairs = bigram_postings(members, keep)
+    return S.Index(posting_lists(pairs), posting_lists(letter_postings(members, keep)), topic_postings(members, TOPICS, keep), document_frequency(pairs, ["period", "term"]), month_bounds(corpus[0]))
+
+
+@pytest.mark.parametrize("plan, filters", list(itertools.product([*PLANS, "long", "none", "wide"], ["none", "both"])))
+def test_posting_lookup_is_the_same(corpus, index, plan, filters):
+    speech, meeting = corpus
+    plan = {**PLANS, "long": Plan("fts", terms=("安全保障", "憲法を")), "none": Plan("fts", terms=("ab",)), "wide": Plan("fts", terms=("ｓｄｇ",))}[plan]
+    asked = (speech, meeting, S.Options(**FILTERS[filters], limit=3, periods=("2026H1", "2025H2")), plan, TOPICS)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(S.hits(*asked).select("rowid")) == rows(S.hits(*asked, index).select("rowid"))
+    assert rows(S.page_hits(*asked).select("rowid")) == rows(S.page_hits(*asked, index).select("rowid"))
+    assert rows(S.count_hits(*asked)) == rows(S.count_hits(*asked, index)) and rows(S.month_hits(*asked)) == rows(S.month_hits(*asked, index))
+
+
+def test_letter_windows(spark):
+    df = spark.createDataFrame([(1, "AbCdab"), (2, "ab"), (3, ""), (4, None), (5, "年金の𠮷年金の")], "rowid long, body string").withColumn("period", F.lit("p"))
+    got = {}
+    for r in letter_postings(df, ["rowid"]).collect():
+        got.setdefault(r.rowid, set()).add(r.term)
+    assert got[1] == {"abc", "bcd", "cda", "dab"} and set(got) == {1, 5} and {"年金の"} <= got[5]
+    assert S.letter_keys("年金の𠮷") == ["年金の"] and S.letter_keys("𠮷") == []
+
+
+def test_pages_of_a_person_cover_all(corpus):
+    speech, _ = corpus
+    before, rows, done = {}, [], False
+    while not done:
+        shown = S.timeline_page(speech, 1, ["2026H1"], S.Options(limit=3, before=before))
+        rows, before, done = rows + shown.rows, shown.before, shown.done
+    assert [r for _, r in rows] == [16, 9, 8, 7, 6, 2, 1]
+    assert S.active_periods(dt.date(2024, 7, 1), dt.date(2025, 3, 1), ["2023H1", "2024H1", "2024H2", "2025H1", "2025H2"]) == ["2025H1", "2024H2"]
+    assert S.active_periods(None, None, ["2023H1", "2024H1"]) == ["2024H1", "2023H1"]
+
+
+def test_walk_numbers_every_hit(corpus):
     speech, meeting = corpus
-    postings = bigram_postings(S.population(speech), ["period", "rowid"])
-    for plan in ("word", "filtered"):
-        a = {r.rowid for r in S.hits(speech, meeting, S.Options(), PLANS[plan], TOPICS).collect()}
-        assert a == {r.rowid for r in S.hits(speech, meeting, S.Options(), PLANS[plan], TOPICS, postings).collect()}
+    found = S.hits(speech, meeting, S.Options(), PLANS["fts"], TOPICS)
+    assert [(r.place, r.page, r.rowid) for r in S.walk(found, 3).orderBy("place").collect()] == [(k, k // 3, i) for k, i in enumerate(IDS["fts"])]
 
 
 @pytest.mark.parametrize("query, ids", [("LGBT", [14]), ("SDGs", [14]), ("sdgs", [14]), ("ＳＤＧｓ", [14]), ("AI", [15, 16]), ("ai", [15, 16]), ("ａｉ", [15, 16]), ("G7", [15]), ("踏ま", []), ("", []), ("ＱＺ", [])])
