@@ -13,7 +13,8 @@ from ..operators import mining as M
 from ..operators import ranking as R
 from ..operators import series as T
 from ..operators.quality import month_bounds
-from ..session import table
+from ..operators.facts import number_rows
+from ..session import materialize, table
 from ..sources.store import stored
 from .base import FACTS, HITS, RUNS, TOPICS, facts, meetings, members, sql_fold, sql_hiragana, sql_name_key, stats, with_facts
 
@@ -258,12 +259,31 @@ def entity_people(spark, sf_dir):
     return E.people(_matched(spark, sf_dir))
 
 
+def _no_ids(spark):
+    return spark.createDataFrame([], "key string, id long")
+
+
+def _assigned(spark, sf_dir):
+    people = E.people(_matched(spark, sf_dir)).withColumn("local", E.local_key(F.col("name"), F.col("name_kana")))
+    return E.assign_ids(people, _no_ids(spark))
+
+
 def entity_ledger(spark, sf_dir):
-    """Ids given to persons in order; the rows are as many as persons, few by nature."""
-    ledger = E.IdLedger()
-    people = E.people(_matched(spark, sf_dir)).withColumn("local", E.local_key(F.col("name"), F.col("name_kana"))).orderBy("seq").select("seq", "wikidata_id", "local", "person_key")
-    rows = [(r.person_key, ledger.resolve(r.wikidata_id, r.local)) for r in people.toLocalIterator()]
-    return spark.createDataFrame(rows, "person_key string, id int")
+    """Ids given to persons in the order of their speeches."""
+    return _assigned(spark, sf_dir).select("person_key", "id")
+
+
+def entity_keys(spark, sf_dir):
+    """The keys known after that, each with its id."""
+    return E.ledger(_assigned(spark, sf_dir), _no_ids(spark))
+
+
+def entity_speeches(spark, sf_dir):
+    """Every member's speech with the person its unit was resolved to."""
+    matched = materialize(_matched(spark, sf_dir))
+    people = E.people(matched).withColumn("local", E.local_key(F.col("name"), F.col("name_kana")))
+    found = E.assign_speeches(members(spark, sf_dir), E.unit_map(matched, E.assign_ids(people, _no_ids(spark))))
+    return found.select("row_id", "person_id")
 
 
 def _party_rows(spark, sf_dir):
@@ -333,7 +353,7 @@ def typed_sort(spark, sf_dir):
 def blank_sort(spark, sf_dir):
     """Places in a text sort of constituencies, blanks last also when it falls."""
     order = [*R.typed_order("district", "text", descending=True), F.col("id").asc()]
-    return table(spark, sf_dir, "politician").withColumn("place", F.row_number().over(Window.orderBy(*order))).where("district IS NULL").select("id", "place")
+    return number_rows(table(spark, sf_dir, "politician").select("id", "district"), order, "place").where("district IS NULL").select("id", "place")
 
 
 def distinct_speakers(spark, sf_dir):
@@ -347,7 +367,7 @@ def group_set_operations(spark, sf_dir):
 
 
 def fold_bindings(spark, sf_dir):
-    a = table(spark, sf_dir, "affiliation").where("politician_id <= 60").select("politician_id", "id", "kaiha", "party")
+    a = table(spark, sf_dir, "affiliation").select("politician_id", "id", "kaiha", "party")
     folded = E.fold_bindings(a, "politician_id", "id", ["party"], ["kaiha"])
     return folded.select("politician_id", "party", F.array_join("kaiha", "|").alias("kaiha"))
 
@@ -355,7 +375,7 @@ def fold_bindings(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     standing_terms, pool_frequencies, mining_denominators, term_fragments, near_duplicate_terms, kept_terms, burst_terms, frequent_words, word_years, month_axis, month_starts, word_sessions, proposals, proposal_lists, trend_windows, trend_new_terms, topic_candidates,
     topic_cells, speech_totals, kept_groups, topic_totals, meeting_totals, topic_series, topic_rates, group_rates, topic_stacks, peak_months, sessions, session_lift, activity, activity_top, activity_series, activity_year, corpus_totals,
-    units, speaker_stats, entity_match, entity_report, entity_people, entity_ledger, entity_parties, entity_unresolved, override_recount, override_lost, affiliation_on_date, current_affiliation, group_timeline, name_search, name_filter, name_find, typed_sort, blank_sort, distinct_speakers, group_set_operations, fold_bindings,
+    units, speaker_stats, entity_match, entity_report, entity_people, entity_ledger, entity_keys, entity_speeches, entity_parties, entity_unresolved, override_recount, override_lost, affiliation_on_date, current_affiliation, group_timeline, name_search, name_filter, name_find, typed_sort, blank_sort, distinct_speakers, group_set_operations, fold_bindings,
 )}
 
 # --- SQL
@@ -414,6 +434,10 @@ _MATCH = [_UNITS, f"""u AS (SELECT row_number() OVER () AS unit, *, {sql_name_ke
     s8 AS (SELECT *, sum((in3 AND h4)::INT) OVER (PARTITION BY unit) AS c4 FROM s7), s9 AS (SELECT *, CASE WHEN open3 AND c4 = 1 THEN in3 AND h4 ELSE in3 END AS in4, CASE WHEN n0 = 1 THEN NULL WHEN c1 = 1 THEN 'exact name' WHEN c2 = 1 THEN 'party' WHEN c3 = 1 THEN 'house' WHEN c4 = 1 THEN 'term' ELSE 'undecided' END AS how FROM s8),
     best AS (SELECT unit, any_value(route) AS route, any_value(how) AS narrowed_by, CAST(sum(in4::INT) AS BIGINT) AS n_candidates, min(wikidata_id) FILTER (in4) AS qid FROM s9 GROUP BY unit),
     matched AS (SELECT u.speaker, u.speaker_yomi, u.speaker_group, u.n_speeches, u.first_date, u.last_date, u.houses, coalesce(b.route, 'none') AS route, b.narrowed_by, coalesce(b.n_candidates, 0) AS n_candidates, CASE WHEN b.n_candidates = 1 THEN qid END AS wikidata_id FROM u LEFT JOIN best b ON b.unit = u.unit)"""]
+_ASSIGNED = f"""placed AS (SELECT *, 'local:' || {sql_name_key('name')} || ':' || coalesce({sql_name_key('name_kana')}, '') AS local, row_number() OVER (ORDER BY n_speeches DESC, person_key) AS seq FROM persons),
+    claims AS (SELECT *, row_number() OVER w AS place, coalesce(bool_or(wikidata_id IS NOT NULL) OVER (PARTITION BY local ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM placed WINDOW w AS (PARTITION BY local ORDER BY seq)),
+    given AS (SELECT *, CASE WHEN place = 1 OR ended THEN sum(CASE WHEN place = 1 OR ended THEN 1 ELSE 0 END) OVER (ORDER BY seq) END AS new FROM claims),
+    assigned AS (SELECT *, CAST(coalesce(new, first_value(new) OVER (PARTITION BY local ORDER BY seq)) AS BIGINT) AS id FROM given)"""
 _PEOPLE = [*_MATCH, f"""keyed AS (SELECT *, coalesce(wikidata_id, 'local:' || {sql_name_key('speaker')} || ':' || coalesce({sql_name_key('speaker_yomi')}, '')) AS person_key FROM matched),
     spelt AS (SELECT person_key, speaker AS name FROM keyed WHERE speaker IS NOT NULL GROUP BY person_key, speaker QUALIFY row_number() OVER (PARTITION BY person_key ORDER BY sum(n_speeches) DESC, speaker) = 1),
     sounded AS (SELECT person_key, speaker_yomi AS name_kana FROM keyed WHERE speaker_yomi IS NOT NULL GROUP BY person_key, speaker_yomi QUALIFY row_number() OVER (PARTITION BY person_key ORDER BY sum(n_speeches) DESC, speaker_yomi) = 1),
@@ -426,6 +450,9 @@ _PARTY = [*_MATCH, f"""rowsp AS (SELECT m.speaker, m.speaker_yomi, m.speaker_gro
 ORACLES = {
     "entity_match": with_facts(" SELECT * FROM matched", *_MATCH),
     "entity_report": with_facts(", b AS (SELECT route, coalesce(narrowed_by, '') AS narrowed_by, CASE WHEN n_candidates = 0 THEN 'none' WHEN n_candidates = 1 THEN 'matched' ELSE 'several' END AS status, count(*) AS units, CAST(sum(n_speeches) AS BIGINT) AS speeches FROM matched GROUP BY ALL) SELECT *, round(speeches * 100 / sum(speeches) OVER (), 2) AS percent FROM b", *_MATCH),
+    "entity_ledger": with_facts(" SELECT person_key, id FROM assigned", *_PEOPLE, _ASSIGNED),
+    "entity_keys": with_facts(" SELECT wikidata_id AS key, id FROM assigned WHERE wikidata_id IS NOT NULL UNION ALL SELECT local, id FROM assigned WHERE place = 1", *_PEOPLE, _ASSIGNED),
+    "entity_speeches": with_facts(" SELECT m.row_id, a.id AS person_id FROM members m LEFT JOIN keyed k ON m.speaker IS NOT DISTINCT FROM k.speaker AND m.speaker_yomi IS NOT DISTINCT FROM k.speaker_yomi AND m.speaker_group IS NOT DISTINCT FROM k.speaker_group LEFT JOIN assigned a ON a.person_key = k.person_key", *_PEOPLE, _ASSIGNED),
     "entity_people": with_facts(" SELECT *, CAST(row_number() OVER (ORDER BY n_speeches DESC, person_key) AS INT) AS seq FROM persons", *_PEOPLE),
     "entity_parties": with_facts(" SELECT * FROM resolved", *_PARTY),
     "entity_unresolved": with_facts(" SELECT kaiha, why, count(*) AS affiliations, CAST(sum(n_speeches) AS BIGINT) AS speeches FROM resolved WHERE party IS NULL GROUP BY ALL", *_PARTY),
@@ -487,5 +514,6 @@ ORACLES = {
     "blank_sort": "SELECT id, CAST((SELECT count(*) FROM politician WHERE district IS NOT NULL) + row_number() OVER (ORDER BY id) AS INT) AS place FROM politician WHERE district IS NULL",
     "distinct_speakers": "SELECT DISTINCT speaker FROM speech",
     "group_set_operations": with_facts(", s AS (SELECT DISTINCT speaker_group FROM members WHERE speaker_group IS NOT NULL) SELECT speaker_group, CASE WHEN speaker_group IN (SELECT kaiha FROM party_map) THEN 'both' ELSE 'spoken' END AS side FROM s"),
-    "fold_bindings": "SELECT politician_id, first(party ORDER BY id) FILTER (party IS NOT NULL AND party <> '') AS party, (SELECT coalesce(string_agg(kaiha, '|' ORDER BY k), '') FROM (SELECT b.kaiha, min(b.id) AS k FROM affiliation b WHERE b.politician_id = a.politician_id AND b.kaiha IS NOT NULL GROUP BY b.kaiha)) AS kaiha FROM affiliation a WHERE politician_id <= 60 GROUP BY politician_id",
+    "fold_bindings": """WITH seen AS (SELECT politician_id, kaiha, min(id) AS k FROM affiliation WHERE kaiha IS NOT NULL AND kaiha <> '' GROUP BY ALL), lists AS (SELECT politician_id, string_agg(kaiha, '|' ORDER BY k) AS kaiha FROM seen GROUP BY politician_id)
+SELECT a.politician_id, first(a.party ORDER BY a.id) FILTER (a.party IS NOT NULL AND a.party <> '') AS party, coalesce(any_value(l.kaiha), '') AS kaiha FROM affiliation a LEFT JOIN lists l ON l.politician_id = a.politician_id GROUP BY a.politician_id""",
 }

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,15 +100,64 @@ def test_narrowing(spark):
     assert got == {"鬼木誠": ("reading", "party", 1, "Q2"), "阿部 一": ("reading", "exact name", 1, "Q3"), "森薫": ("reading", "term", 1, "Q6"), "無名": ("none", None, 0, None), "谷口幸": ("name", None, 1, "Q7")}
 
 
-def test_ledger():
-    ledger = E.IdLedger()
-    assert ledger.resolve("Q1", "local:鬼木誠:おにき") == 1
-    assert ledger.resolve("Q2", "local:鬼木誠:おにき") == 2
-    assert ledger.resolve(None, "local:新人:しん") == 3
-    assert ledger.resolve("Q3", "local:新人:しん") == 3
-    assert ledger.resolve("Q1", "local:別名:べつ") == 1
-    again = E.IdLedger(ledger.keys)
-    assert (again.resolve("Q2", "x"), again.resolve(None, "local:四:よ")) == (2, 4)
+def given_one_by_one(people, keys):
+    """What assign_ids gives, person by person."""
+    keys, told = dict(keys), {i: k for k, i in keys.items() if k[:6] != "local:"}
+    out, free = {}, max([0, *keys.values()]) + 1
+    for person, qid, local in people:
+        got = keys.get(qid)
+        if got is None and local in keys and keys[local] not in told:
+            got = keys[local]
+        if got is None:
+            got, free = free, free + 1
+        if qid:
+            keys[qid], told[got] = got, qid
+        keys.setdefault(local, got)
+        out[person] = got
+    return out, keys
+
+
+def assigned(spark, people, keys):
+    df = spark.createDataFrame([(p, q, l, i) for i, (p, q, l) in enumerate(people, 1)], "person_key string, wikidata_id string, local string, seq int")
+    known = spark.createDataFrame(list(keys.items()), "key string, id long")
+    rows = E.assign_ids(df, known)
+    return {r.person_key: r.id for r in rows.collect()}, {r.key: r.id for r in E.ledger(rows, known).collect()}
+
+
+def test_ledger(spark):
+    people = [("a", "Q1", "local:鬼木誠:おにき"), ("b", "Q2", "local:鬼木誠:おにき"), ("c", None, "local:新人:しん"), ("d", "Q3", "local:新人:しん")]
+    ids, keys = assigned(spark, people, {})
+    assert ids == {"a": 1, "b": 2, "c": 3, "d": 3} and keys == {"Q1": 1, "Q2": 2, "Q3": 3, "local:鬼木誠:おにき": 1, "local:新人:しん": 3}
+    assert assigned(spark, [("a", "Q1", "local:別名:べつ"), ("b", "Q2", "local:x"), ("e", None, "local:四:よ")], keys)[0] == {"a": 1, "b": 2, "e": 4}
+
+
+def test_ledger_against_one_by_one(spark):
+    r = random.Random(3)
+    keys = {}
+    for _ in range(4):
+        people = [(f"Q{q}", f"Q{q}", f"local:{r.randrange(9)}") for q in r.sample(range(20), 9)] + [(f"local:{k}", None, f"local:{k}") for k in r.sample(range(9), 5)]
+        r.shuffle(people)
+        want = given_one_by_one(people, keys)
+        assert assigned(spark, people, keys) == want
+        keys = want[1]
+
+
+def test_speeches_of_units(spark, monkeypatch):
+    units = spark.createDataFrame([("甲", None, "一", 1), (None, "甲", "一", 2), ("甲", "こう", None, 3)], "speaker string, speaker_yomi string, speaker_group string, person_id long")
+    speech = spark.createDataFrame([(i, f"s{i}", *u) for i, u in enumerate([("甲", None, "一"), (None, "甲", "一"), ("甲", "こう", None), ("甲", "こう", "一"), (None, None, None)])], "row_id long, speech_id string, speaker string, speaker_yomi string, speaker_group string")
+    for small in (True, False):
+        monkeypatch.setattr(E, "small_enough", lambda *_, small=small: small)
+        assert {r.row_id: r.person_id for r in E.assign_speeches(speech, units).collect()} == {0: 1, 1: 2, 2: 3, 3: None, 4: None}
+
+
+def test_override_checks_and_sync(spark):
+    parts = [("p", "一", 1, None, D(2022, 1, 1), "甲"), ("p", "一", 2, D(2021, 1, 1), None, "無い党"), ("q", "二", 1, None, None, None), ("r", "三", 1, None, None, "甲"), ("r", "三", 2, D(2022, 1, 1), D(2021, 1, 1), None)]
+    overrides = spark.createDataFrame(parts, "person_key string, kaiha string, seq int, from_date date, until date, party string")
+    pairs = spark.createDataFrame([("p", "一"), ("q", "二"), ("s", "四")], "person_key string, kaiha string")
+    got = {tuple(x) for x in E.override_problems(overrides, pairs, spark.createDataFrame([("甲",)], "party string")).collect()}
+    assert got == {("p", "一", "unknown party"), ("p", "一", "begins before the last part ends"), ("r", "三", "no such pair"), ("r", "三", "no end before the last part"), ("r", "三", "ends before it begins")}
+    synced = {(x.person_key, x.seq, x.party) for x in E.override_sync(overrides, pairs.where("person_key <> 'q'")).collect()}
+    assert synced == {("p", 1, "甲"), ("p", 2, "無い党"), ("r", 1, "甲"), ("r", 2, None), ("s", 1, None)}
 
 
 def test_parties(spark):
