@@ -52,6 +52,18 @@ def false_hits(postings: DataFrame, facts: DataFrame) -> DataFrame:
     return postings.join(texts, ["period", "rowid"]).where(~F.contains(folded, F.col("term"))).select("term", "period", "rowid")
 
 
+def false_topic_hits(postings: DataFrame, facts: DataFrame, topics: list[dict]) -> DataFrame:
+    """Topic postings (period, topic_id, rowid) whose text holds no form of the topic; a topic that is not listed has none."""
+    forms = F.create_map(*[x for t in topics for x in (F.lit(t["id"]), F.array(*[F.lit(f) for f in [t["term"], *(t.get("variants") or [])]]))]) if topics else F.lit(None).cast("map<int,array<string>>")
+    rows = postings.select("period", "topic_id", "rowid").join(facts.select("period", "rowid", "body"), ["period", "rowid"]).withColumn("_f", F.try_element_at(forms, F.col("topic_id")))
+    return rows.where(~F.coalesce(F.exists("_f", lambda f: F.contains(F.col("body"), f)), F.lit(False))).select("topic_id", "period", "rowid")
+
+
+def probed_false_hits(speech: DataFrame, found: DataFrame, holds, least: int = 1000) -> DataFrame:
+    """Full-text hits whose text doesn't hold the terms (``holds``, a condition on body); none below ``least`` speeches, where probes say nothing."""
+    return found.where(~holds) if large_enough(speech, least) else found.where(F.lit(False))
+
+
 def catalog_problems(catalog: DataFrame, largest_mb: float = 480) -> DataFrame:
     """(id, problem): gaps and doubles of period ids, missing versions, oversized parts. catalog: id, version, size_mb."""
     by = Window.orderBy("id")

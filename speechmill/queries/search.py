@@ -14,6 +14,7 @@ from ..operators.series import speech_totals, trend_mode
 from ..plans import search as S
 from ..plans.query_text import Plan, split_terms, unsearchable_terms, word_plan
 from ..session import table
+from ..sources.build import period_entries, totals
 from .base import FACTS, HITS, TOPICS, bigram_df, facts, index, meetings, members, sql_fold, stats, with_facts
 
 FTS = Plan("fts", terms=tuple(split_terms("老朽化 データ")))
@@ -195,29 +196,54 @@ def check_bounds(spark, sf_dir):
     return Q.month_bounds(facts(spark, sf_dir))
 
 
+def _counted(parts):
+    """(problem, n) of several checks."""
+    return reduce(lambda a, b: a.unionByName(b), [found.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n") for name, found in parts])
+
+
+def _listed_pairs(lists):
+    return lists.select("term", "period", F.explode("rowids").alias("rowid"))
+
+
 def check_all(spark, sf_dir):
-    """(problem, n): every check over the tables as built; all are to be 0."""
-    f, m = facts(spark, sf_dir), members(spark, sf_dir)
-    postings = bigram_postings(m, ["period", "rowid"])
-    catalog = stats(spark, sf_dir).select(F.col("period").alias("id"), F.lit("1").alias("version"), F.lit(1.0).alias("size_mb"))
-    listed = topic_table(spark, TOPICS)
-    parts = [
-        ("order", Q.inversions(f)), ("bounds", Q.bound_mismatches(f)), ("coverage", Q.coverage_problems(stats(spark, sf_dir))), ("catalog", Q.catalog_problems(catalog)),
-        ("frequencies", Q.frequency_mismatches(bigram_frequencies(spark, sf_dir), postings, "term")), ("false hits", Q.false_hits(postings, m)), ("topics", Q.topic_differences(listed, listed)),
-    ]
-    out = None
-    for name, found in parts:
-        part = found.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(problem, n): every check over the tables as built; all are to be 0. Frequencies and lists are stored apart, so they can differ."""
+    f, m, at = facts(spark, sf_dir), members(spark, sf_dir), index(spark, sf_dir)
+    pairs = _listed_pairs(at.pairs)
+    manifest = period_entries(f, at, TOPICS).withColumn("size_mb", F.lit(1.0))
+    held = at.topics.groupBy("topic_id").agg(F.count("*").alias("n_speeches")).withColumnRenamed("topic_id", "id")
+    return _counted([
+        ("order", Q.inversions(f)), ("bounds", Q.bound_mismatches(f)), ("coverage", Q.coverage_problems(stats(spark, sf_dir))), ("catalog", Q.catalog_problems(manifest)),
+        ("frequencies", Q.frequency_mismatches(bigram_frequencies(spark, sf_dir), pairs, "term")), ("false hits", Q.false_hits(pairs, m)), ("false topic hits", Q.false_topic_hits(at.topics, m, TOPICS)),
+        ("topics", Q.frequency_mismatches(held.withColumn("id", F.col("id")), topic_postings(m, TOPICS, ["period", "rowid"]).withColumnRenamed("topic_id", "id"), "id")),
+    ])
 
 
 def check_faults(spark, sf_dir):
-    """The checks on tables spoilt on purpose."""
+    """The same checks on the corpus spoilt by rule: dates set back, frequencies raised, postings and hits that no text holds, periods misdated."""
+    f, m, at = facts(spark, sf_dir), members(spark, sf_dir), index(spark, sf_dir)
+    spoilt = f.select("period", "rowid", F.when(F.col("rowid") % 97 == 0, F.date_sub("date", 4000)).otherwise(F.col("date")).alias("date"))
+    raised = bigram_frequencies(spark, sf_dir).withColumn("n_speeches", F.col("n_speeches") + F.when(F.startswith("term", F.lit("デ")), 1).otherwise(0))
+    foreign = m.select(F.lit("〆〆").alias("term"), "period", "rowid").where("rowid % 50 = 0")
+    hits = m.select("period", F.lit(7).alias("topic_id"), "rowid").where("rowid % 60 = 0")
+    moved = stats(spark, sf_dir).withColumn("last_date", F.date_add("last_date", 200))
+    manifest = period_entries(f, at, TOPICS).select("id", F.when(F.endswith("id", F.lit("H1")), "").otherwise(F.col("version")).alias("version"), F.when(F.startswith("id", F.lit("2022")), 900.0).otherwise(1.0).alias("size_mb")).where("id <> '2023H1'")
+    pairs = _listed_pairs(at.pairs)
+    return _counted([("order", Q.inversions(spoilt)), ("coverage", Q.coverage_problems(moved)), ("catalog", Q.catalog_problems(manifest)), ("frequencies", Q.frequency_mismatches(raised, pairs, "term")), ("false hits", Q.false_hits(foreign, m)), ("false topic hits", Q.false_topic_hits(hits, m, TOPICS))])
+
+
+def topic_faults(spark, sf_dir):
+    """A stored list of topics against the one in use: the topics the corpus has no hit of are taken as missing from it."""
     listed = topic_table(spark, TOPICS)
-    held = listed.where("id <> 2").withColumn("term", F.when(F.col("id") == 3, "恩給").otherwise(F.col("term"))).unionByName(listed.where("id = 1").withColumn("id", F.lit(9)))
-    catalog = spark.createDataFrame([("2021H1", "a", 10.0), ("2022H1", "", 10.0), ("2022H2", "b", 900.0), ("22H3", "c", 1.0)], "id string, version string, size_mb double")
-    return Q.topic_differences(held, listed).select(F.col("id").cast("string").alias("id"), "problem").unionByName(Q.catalog_problems(catalog))
+    held = listed.join(index(spark, sf_dir).topics.select(F.col("topic_id").alias("id")).distinct(), "id", "left_semi").withColumn("term", F.when(F.col("id") == 3, "恩給").otherwise(F.col("term")))
+    return Q.topic_differences(held, listed)
+
+
+def manifest_entries(spark, sf_dir):
+    return period_entries(facts(spark, sf_dir), index(spark, sf_dir), TOPICS).drop("version", "topics_fp")
+
+
+def manifest_totals(spark, sf_dir):
+    return totals(period_entries(facts(spark, sf_dir), index(spark, sf_dir), TOPICS))
 
 
 def topics_indexed(spark, sf_dir):
@@ -231,7 +257,7 @@ QUERIES = {
     **{f"search_{n}_{kind}": partial(make, plan, NONE) for n, plan in (("fts", FTS), ("fold", SDGS), ("word", WORD), ("topic", TOPIC)) for kind, make in (("page", _page), ("count", _count), ("months", _months))},
     **{f"search_filtered_{n}": partial(_count, plan, FILTERED) for n, plan in (("fts", FTS), ("word", WORD), ("topic", TOPIC))},
     "search_page_2": partial(_page, TOPIC, PAGE_2),
-    **{f.__name__: f for f in (search_in_meeting, search_word_scanned, search_long_count, search_bundled, search_first_pages, timeline_pages, search_planned, search_impossible, search_offset, search_by_period, search_walk, politician_timeline, speech_detail, speech_context, context_frames, meeting_names, search_trend_mode, bigram_frequencies, bigram_letters, topic_hits, topic_frequencies, missing_topics, json_variants, topic_categories, topic_routes, check_arrival, check_bounds, check_all, check_faults, topics_indexed)},
+    **{f.__name__: f for f in (search_in_meeting, search_word_scanned, search_long_count, search_bundled, search_first_pages, timeline_pages, search_planned, search_impossible, search_offset, search_by_period, search_walk, politician_timeline, speech_detail, speech_context, context_frames, meeting_names, search_trend_mode, bigram_frequencies, bigram_letters, topic_hits, topic_frequencies, missing_topics, json_variants, topic_categories, topic_routes, check_arrival, check_bounds, check_all, check_faults, topic_faults, manifest_entries, manifest_totals, topics_indexed)},
 }
 
 _LOOSE = f"contains({sql_fold('body')}, '{{0}}') AND list_contains(list_transform(regexp_extract_all({sql_fold('body')}, '[一-鿿々]{{{{2,}}}}|[ァ-ヴー]{{{{2,}}}}|[Ａ-Ｚａ-ｚ０-９]{{{{2,}}}}'), lambda r: contains(r, '{{0}}')), true)".replace("{{0}}", "{0}").replace("{{{{", "{{").replace("}}}}", "}}")
@@ -290,7 +316,16 @@ ORACLES = {
     "topic_routes": with_facts(", f AS (SELECT form, min(topic_id) AS topic_id FROM forms GROUP BY form), d AS (SELECT term, count(*) AS n FROM grams GROUP BY term HAVING count(*) >= 30) SELECT term, coalesce(topic_id, 0) AS topic_id, CASE WHEN topic_id IS NOT NULL THEN 'topic' WHEN n >= 60 THEN 'word' ELSE 'search' END AS route FROM d LEFT JOIN f ON f.form = d.term", HITS, _GRAMS),
     "check_arrival": "SELECT period, count(*) FILTER (b > date) AS n FROM (SELECT period, date, lag(date) OVER (PARTITION BY period ORDER BY row_id) AS b FROM speech) GROUP BY period",
     "check_bounds": f"WITH {FACTS} SELECT period, strftime(date, '%Y-%m') AS month, min(rowid) AS first FROM facts GROUP BY ALL",
-    "check_all": "SELECT unnest(['order', 'bounds', 'coverage', 'catalog', 'frequencies', 'false hits', 'topics']) AS problem, CAST(0 AS BIGINT) AS n",
-    "check_faults": "SELECT * FROM (VALUES ('2', 'missing'), ('3', 'other term'), ('9', 'stale'), ('2022H1', 'gap before'), ('2022H1', 'no version'), ('2022H2', 'too large'), ('22H3', 'bad id')) x(id, problem)",
+    "check_all": "SELECT unnest(['order', 'bounds', 'coverage', 'catalog', 'frequencies', 'false hits', 'false topic hits', 'topics']) AS problem, CAST(0 AS BIGINT) AS n",
+    "check_faults": with_facts("""
+        SELECT 'order' AS problem, count(DISTINCT period) AS n FROM (SELECT period, d, lag(d) OVER (PARTITION BY period ORDER BY rowid) AS b FROM (SELECT period, rowid, CASE WHEN rowid % 97 = 0 THEN date - 4000 ELSE date END AS d FROM facts)) WHERE b > d
+        UNION ALL SELECT 'coverage', count(*) FROM (SELECT period, max(date) + 200 AS d FROM facts GROUP BY period) WHERE year(d) || CASE WHEN month(d) <= 6 THEN 'H1' ELSE 'H2' END <> period
+        UNION ALL SELECT 'catalog', count(*) FILTER (period LIKE '%H1') + count(*) FILTER (period LIKE '2022%') + count(*) FILTER (period = '2023H2') FROM (SELECT DISTINCT period FROM facts WHERE period <> '2023H1')
+        UNION ALL SELECT 'frequencies', count(DISTINCT term) FROM grams WHERE term LIKE 'デ%'
+        UNION ALL SELECT 'false hits', count(*) FROM members WHERE rowid % 50 = 0 AND NOT contains(body, '〆〆')
+        UNION ALL SELECT 'false topic hits', count(*) FROM members WHERE rowid % 60 = 0 AND NOT contains(body, '月面基地')""", _GRAMS),
+    "topic_faults": with_facts(" SELECT id, 'missing' AS problem FROM topics WHERE id NOT IN (SELECT topic_id FROM hits) UNION ALL SELECT 3, 'other term' WHERE 3 IN (SELECT topic_id FROM hits)", HITS, _TOPICS),
+    "manifest_entries": with_facts(", h AS (SELECT period, count(*) AS hits FROM hits GROUP BY period), w AS (SELECT period, count(DISTINCT term) AS words FROM grams GROUP BY period) SELECT f.period AS id, count(DISTINCT issue_id) AS meetings, count(*) AS speeches, count(*) FILTER (speaker_kind = '議員') AS indexed, coalesce(any_value(h.hits), 0) AS hits, coalesce(any_value(w.words), 0) AS words, strftime(min(date), '%Y-%m-%d') AS first_date, strftime(max(date), '%Y-%m-%d') AS last_date FROM facts f LEFT JOIN h ON h.period = f.period LEFT JOIN w ON w.period = f.period GROUP BY f.period", HITS, _GRAMS),
+    "manifest_totals": with_facts(" SELECT count(DISTINCT period) AS periods, count(*) AS speeches, count(*) FILTER (speaker_kind = '議員') AS indexed, (SELECT count(*) FROM hits) AS hits, strftime(min(date), '%Y-%m-%d') AS first_date, strftime(max(date), '%Y-%m-%d') AS last_date FROM facts", HITS),
     "topics_indexed": "SELECT id, id NOT IN (5, 6) AS indexed FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS id)",
 }
