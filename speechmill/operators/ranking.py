@@ -43,6 +43,11 @@ def typed_order(column: str, kind: str = "text", descending: bool | None = None)
     return [F.when(blank, 1).otherwise(0).asc(), key.desc() if down else key.asc()]
 
 
+def people_order(column: str, kind: str = "text", descending: bool | None = None) -> list[Column]:
+    """The order of a list of people by a column: equal ones by reading, those without a reading after, then by id."""
+    return [*typed_order(column, kind, descending), *typed_order("kana", "text"), F.col("id").asc()]
+
+
 def id_ranges(df: DataFrame, id_column: str, keys: list[str] = ()) -> DataFrame:
     """(keys, ids): consecutive ids as ranges, ``1-3,5``. Islands are found by id minus rank and then joined to text."""
     rows = df.select(*keys, F.col(id_column).cast("long").alias("_id")).where("_id IS NOT NULL").distinct()

@@ -14,9 +14,11 @@ from ..operators import ranking as R
 from ..operators import series as T
 from ..operators.quality import month_bounds
 from ..operators.facts import number_rows
+from ..operators.postings import topic_table
 from ..session import materialize, table
+from ..sources import products as P
 from ..sources.store import stored
-from .base import FACTS, HITS, RUNS, TOPICS, facts, meetings, members, sql_fold, sql_hiragana, sql_name_key, stats, with_facts
+from .base import FACTS, HITS, RUNS, TOPICS, bigram_df, facts, meetings, members, sql_fold, sql_hiragana, sql_name_key, stats, with_facts
 
 DENIED = ["データ"]
 
@@ -50,7 +52,9 @@ def _totals(spark, sf_dir):
 
 
 def term_fragments(spark, sf_dir):
-    return M.fragments(_standing(spark, sf_dir), _totals(spark, sf_dir), 0.5)
+    """Of all two-character keys, those that mostly stand inside longer abbreviations."""
+    totals = bigram_df(spark, sf_dir).groupBy("term").agg(F.sum("n_speeches").alias("n"))
+    return M.fragments(_standing(spark, sf_dir), totals, 0.5)
 
 
 def near_duplicate_terms(spark, sf_dir):
@@ -372,10 +376,50 @@ def fold_bindings(spark, sf_dir):
     return folded.select("politician_id", "party", F.array_join("kaiha", "|").alias("kaiha"))
 
 
+# --- Products, reports and lists
+
+
+def front_page(spark, sf_dir):
+    topics = topic_table(spark, TOPICS).join(topic_totals(spark, sf_dir).select(F.col("topic_id").alias("id"), "n_speeches"), "id").select("term", "n_speeches")
+    words = burst_terms(spark, sf_dir).select("term", "burst", "peak_year")
+    return P.front_page(topics, words, trend_windows(spark, sf_dir).select("window", "rank", "term", "n")).withColumn("value", F.round("value", 3))
+
+
+def product_topics(spark, sf_dir):
+    cells = _topic_cells(spark, sf_dir).where("kaiha = '*'").select("topic_id", "month", F.col("n_speeches").alias("n"))
+    totals = topic_totals(spark, sf_dir).select("topic_id", "n_speeches")
+    return P.as_json(P.topic_product(topic_table(spark, TOPICS), totals, cells, T.axis_months(members(spark, sf_dir))), "id")
+
+
+def product_trending(spark, sf_dir):
+    return P.as_json(P.trend_product(trend_windows(spark, sf_dir)), "window")
+
+
+def product_activity(spark, sf_dir):
+    cells = members(spark, sf_dir).where("politician_id IS NOT NULL").groupBy("politician_id", month_of(F.col("date")).alias("month")).agg(F.count("*").alias("n"))
+    return P.as_json(P.activity_product(cells, T.axis_months(members(spark, sf_dir))), "politician_id")
+
+
+def report_todo(spark, sf_dir):
+    return P.todo_report(_matched(spark, sf_dir).na.fill("", ["speaker", "speaker_yomi", "speaker_group"]))
+
+
+def report_frequent(spark, sf_dir):
+    words = burst_terms(spark, sf_dir).withColumnRenamed("peak_year", "peak")
+    return P.frequent_report(words)
+
+
+def people_order(spark, sf_dir):
+    """Places of politicians by the number of their speeches, equal ones by reading."""
+    people = table(spark, sf_dir, "politician").select("id", F.col("name_kana").alias("kana"), (F.col("n_speeches") % 7).alias("n"))
+    return number_rows(people, R.people_order("n", "num"), "place").select("id", "place")
+
+
 QUERIES = {f.__name__: f for f in (
     standing_terms, pool_frequencies, mining_denominators, term_fragments, near_duplicate_terms, kept_terms, burst_terms, frequent_words, word_years, month_axis, month_starts, word_sessions, proposals, proposal_lists, trend_windows, trend_new_terms, topic_candidates,
     topic_cells, speech_totals, kept_groups, topic_totals, meeting_totals, topic_series, topic_rates, group_rates, topic_stacks, peak_months, sessions, session_lift, activity, activity_top, activity_series, activity_year, corpus_totals,
     units, speaker_stats, entity_match, entity_report, entity_people, entity_ledger, entity_keys, entity_speeches, entity_parties, entity_unresolved, override_recount, override_lost, affiliation_on_date, current_affiliation, group_timeline, name_search, name_filter, name_find, typed_sort, blank_sort, distinct_speakers, group_set_operations, fold_bindings,
+    front_page, product_topics, product_trending, product_activity, report_todo, report_frequent, people_order,
 )}
 
 # --- SQL
@@ -418,7 +462,7 @@ _SESS = "sess AS (SELECT g.session, min(m.date) AS first, max(m.date) AS last, c
 _UNITS = "units AS (SELECT f.speaker, f.speaker_yomi, f.speaker_group, count(*) AS n_speeches, min(f.date) AS first_date, max(f.date) AS last_date, string_agg(DISTINCT g.house, ',' ORDER BY g.house) AS houses FROM facts f JOIN meeting g ON g.issue_id = f.issue_id WHERE f.speaker_kind = '議員' GROUP BY ALL)"
 _PEOPLE_LIST = "cur AS (SELECT politician_id, id, kaiha, party FROM affiliation QUALIFY row_number() OVER (PARTITION BY politician_id ORDER BY coalesce(end_date, DATE '9999-12-31') DESC, id DESC) = 1), list AS (SELECT p.id, p.name, p.name_kana AS kana, c.kaiha, p.n_speeches AS n FROM politician p LEFT JOIN cur c ON c.politician_id = p.id)"
 _FOLD = lambda c: sql_hiragana(f"regexp_replace({c}, '[\\s　]', '', 'g')")
-_AXIS = "axis AS (SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM members)"
+_AXIS = "axis AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS k FROM (SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM members))"
 _OVER = [_UNITS, "big AS (SELECT * FROM units WHERE n_speeches >= 10)", """ospans AS (SELECT speaker, speaker_yomi, speaker_group, 1 AS seq, '甲' AS party, first_date AS a, DATE '2022-12-31' AS b FROM big UNION ALL SELECT speaker, speaker_yomi, speaker_group, 2, NULL, DATE '2023-01-01', DATE '2024-06-30' FROM big UNION ALL SELECT speaker, speaker_yomi, speaker_group, 3, '乙', DATE '2024-08-01', last_date FROM big)""",
     "recounted AS (SELECT o.speaker, o.speaker_yomi, o.speaker_group, o.seq, o.party, count(*) AS n_speeches, min(m.date) AS start_date, max(m.date) AS end_date FROM ospans o JOIN members m ON m.speaker IS NOT DISTINCT FROM o.speaker AND m.speaker_yomi IS NOT DISTINCT FROM o.speaker_yomi AND m.speaker_group IS NOT DISTINCT FROM o.speaker_group AND m.date BETWEEN o.a AND o.b GROUP BY ALL)"]
 
@@ -459,7 +503,7 @@ ORACLES = {
     "standing_terms": with_facts(" SELECT * FROM standing", RUNS, _STANDING),
     "pool_frequencies": with_facts(" SELECT * FROM cells", *_MINING),
     "mining_denominators": with_facts(" SELECT strftime(m.date, '%Y-%m') AS month, g.session, count(*) AS n_speeches, min(m.date) AS first, max(m.date) AS last FROM members m JOIN meeting g ON g.issue_id = m.issue_id GROUP BY 1, 2"),
-    "term_fragments": with_facts(" SELECT t.term FROM totals t LEFT JOIN standing s ON s.term = t.term WHERE length(t.term) = 2 AND t.term >= 'Ａ' AND coalesce(s.standalone, 0) / t.n < 0.5", *_MINING),
+    "term_fragments": with_facts(f" SELECT t.term FROM (SELECT term, count(*) AS n FROM windows WHERE length(term) = 2 GROUP BY term) t LEFT JOIN standing s ON s.term = t.term WHERE t.term >= 'Ａ' AND coalesce(s.standalone, 0) / t.n < 0.5", RUNS, _STANDING),
     "near_duplicate_terms": with_facts(" SELECT DISTINCT a.term FROM totals a JOIN totals b ON length(b.term) > length(a.term) AND contains(b.term, a.term) WHERE b.n >= a.n * 0.75", *_MINING),
     "kept_terms": with_facts(f" SELECT term, n FROM totals WHERE {_NOISE} AND term IN {_keep('totals')}", *_MINING, _PARTS, _ROLES),
     "burst_terms": with_facts(" SELECT term, n, round(burst, 6) AS burst, round(recency, 6) AS recency, peak_year, peak_n FROM profile WHERE n >= 20", *_MINING, _BURST),
@@ -517,3 +561,30 @@ ORACLES = {
     "fold_bindings": """WITH seen AS (SELECT politician_id, kaiha, min(id) AS k FROM affiliation WHERE kaiha IS NOT NULL AND kaiha <> '' GROUP BY ALL), lists AS (SELECT politician_id, string_agg(kaiha, '|' ORDER BY k) AS kaiha FROM seen GROUP BY politician_id)
 SELECT a.politician_id, first(a.party ORDER BY a.id) FILTER (a.party IS NOT NULL AND a.party <> '') AS party, coalesce(any_value(l.kaiha), '') AS kaiha FROM affiliation a LEFT JOIN lists l ON l.politician_id = a.politician_id GROUP BY a.politician_id""",
 }
+
+_NOTED = ", ".join(f"({t['id']}, '{t['term']}', '{t['category']}', [{', '.join(repr(v) for v in t['variants'])}]::VARCHAR[])" for t in TOPICS)
+_AXIS = "axis AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS k FROM (SELECT strftime(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM members))"
+ORACLES |= {
+    "front_page": f"""
+        WITH t AS (SELECT v.term, CAST(x.n_speeches AS DOUBLE) AS value, 0 AS r FROM ({ORACLES['topic_totals']}) x JOIN (VALUES {_NOTED}) v(id, term, category, variants) ON v.id = x.topic_id),
+        b AS (SELECT * FROM ({ORACLES['burst_terms']})), c AS (SELECT term, CAST(burst AS DOUBLE) AS value, 0 AS r FROM b WHERE peak_year = (SELECT max(peak_year) FROM b)),
+        w AS (SELECT term, CAST(n AS DOUBLE) AS value, rank AS r FROM ({ORACLES['trend_windows']}) WHERE "window" = 0),
+        a AS (SELECT 'topics' AS list, *, 12 AS most FROM t UNION ALL SELECT 'current', *, 12 FROM c UNION ALL SELECT 'trending', *, 14 FROM w)
+        SELECT list, CAST(row_number() OVER (PARTITION BY list ORDER BY r, value DESC, term) AS INT) AS place, term, round(value, 3) AS value FROM a QUALIFY place <= most""",
+    "product_topics": f"""
+        SELECT CAST(v.id AS VARCHAR) AS key, CAST(to_json({{'id': v.id, 'term': v.term, 'category': v.category, 'variants': v.variants, 'n_speeches': coalesce(x.n_speeches, 0), 'months': coalesce(CAST(string_split(s.series, ',') AS BIGINT[]), (SELECT list(0) FROM (SELECT unnest(string_split((SELECT any_value(series) FROM ({ORACLES['topic_series']})), ',')))))}}) AS VARCHAR) AS value
+        FROM (VALUES {_NOTED}) v(id, term, category, variants) LEFT JOIN ({ORACLES['topic_totals']}) x ON x.topic_id = v.id LEFT JOIN ({ORACLES['topic_series']}) s ON s.topic_id = v.id""",
+    "product_trending": f"""
+        SELECT CAST("window" AS VARCHAR) AS key, CAST(to_json({{'window': "window", 'from': strftime(from_date, '%Y-%m-%d'), 'until': strftime("until", '%Y-%m-%d'), 'sitting_days': sitting_days, 'n_speeches': n_speeches, 'terms': list({{'term': term, 'n': n}} ORDER BY rank)}}) AS VARCHAR) AS value
+        FROM ({ORACLES['trend_windows']}) GROUP BY "window", from_date, "until", sitting_days, n_speeches""",
+    "product_activity": with_facts(""" SELECT CAST(politician_id AS VARCHAR) AS key, CAST(to_json({'politician_id': politician_id, 'n_speeches': CAST(sum(n) AS BIGINT), 'series': flatten(list([k, n] ORDER BY k))}) AS VARCHAR) AS value
+        FROM (SELECT m.politician_id, a.k, count(*) AS n FROM members m JOIN axis a ON a.month = strftime(m.date, '%Y-%m') WHERE m.politician_id IS NOT NULL GROUP BY ALL) GROUP BY politician_id""", _AXIS),
+    "report_todo": f"""
+        WITH u AS (SELECT coalesce(speaker, '') AS a, coalesce(speaker_yomi, '') AS b, coalesce(speaker_group, '') AS c, n_candidates, n_speeches FROM ({ORACLES['entity_match']}) WHERE n_candidates <> 1)
+        SELECT 0 AS section, CAST(row_number() OVER (ORDER BY n_speeches DESC, a, b, c) + 3 AS INT) AS place, '| ' || a || ' | ' || b || ' | ' || c || ' | ' || n_candidates || ' | ' || n_speeches || ' |' AS line FROM u
+        UNION ALL SELECT * FROM (VALUES (0, 0, '# To do'), (0, 1, '## Unmatched units'), (0, 2, '| speaker | speaker_yomi | speaker_group | n_candidates | n_speeches |'), (0, 3, '|---|---|---|---|---|'))""",
+    "report_frequent": f"""
+        SELECT 0 AS section, CAST(row_number() OVER (ORDER BY n DESC, term) + 3 AS INT) AS place, '| ' || term || ' | ' || n || ' | ' || peak_year || ' |' AS line FROM ({ORACLES['burst_terms']})
+        UNION ALL SELECT * FROM (VALUES (0, 0, '# Frequent words'), (0, 1, '## Words'), (0, 2, '| term | n | peak |'), (0, 3, '|---|---|---|'))""",
+    "people_order": "SELECT id, row_number() OVER (ORDER BY n_speeches % 7 DESC NULLS LAST, CASE WHEN trim(coalesce(name_kana, '')) = '' THEN 1 ELSE 0 END, name_kana COLLATE ja, id) AS place FROM politician",
+}

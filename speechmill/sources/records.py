@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import re
 import time
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.periods import period_of
+from ..operators.entity import fold_bindings
 from ..operators.facts import latest_rows, meeting_rows, number_in_periods, speech_rows
-from ..schemas import RAW
+from ..schemas import KB_MEMBER, KB_TERM, RAW
 
 # What the API serves a page, the bytes of a query, the pause and the tries.
 PAGE = 100
@@ -68,9 +70,26 @@ def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_product(df: DataFrame, path: str) -> None:
-    """A product as JSON lines, one row a line, keys in order of the columns."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+def read_knowledge_base(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(members, terms of office) from a snapshot of the knowledge base: ``persons*.json`` and ``terms*.json``, a JSON object a line.
+
+    A person comes in several rows, one for each combination of their optional values: the first non-empty name and reading count, houses and
+    parties are listed as first seen. Rows without an id drop out; of equal terms one stays.
+    """
+    value = "id string, name string, kana string, house string, party string"
+    rows = spark.read.schema(value).option("pathGlobFilter", "persons*.json").json(folder).where("id IS NOT NULL").withColumn("_o", F.monotonically_increasing_id())
+    folded = fold_bindings(rows, "id", "_o", ["name", "kana"], ["house", "party"])
+    members = folded.select(F.col("id").alias("wikidata_id"), "name", "kana", F.col("house").alias("houses"), F.col("party").alias("parties"))
+    terms = spark.read.schema("id string, house string, start string, end string, district string").option("pathGlobFilter", "terms*.json").json(folder).where("id IS NOT NULL").distinct()
+    day = lambda c: F.to_date(F.substring(c, 1, 10)).alias(c)
+    return members.select(*KB_MEMBER.names), terms.select(F.col("id").alias("wikidata_id"), "house", day("start"), day("end"), "district").select(*KB_TERM.names)
+
+
+def kb_problems(members: DataFrame, terms: DataFrame) -> DataFrame:
+    """(wikidata_id, problem): what a snapshot should be asked about again: no name, no reading, several readings of one id, terms that end before they start."""
+    checks = F.array(F.when(F.coalesce(F.length("name"), F.lit(0)) == 0, "no name"), F.when(F.coalesce(F.length("kana"), F.lit(0)) == 0, "no reading"), F.when(F.size("parties") == 0, "no party"))
+    first = members.select("wikidata_id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("problem"))
+    return first.unionByName(terms.where(F.col("end") < F.col("start")).select("wikidata_id", F.lit("term ends before it starts").alias("problem"))).distinct()
 
 
 def pipe_table(text: str) -> list[dict[str, str]]:
@@ -123,7 +142,8 @@ def count_records(get: Callable[[dict], dict], query: dict) -> int:
 class PagedRecords(DataSource):
     """``spark.read.format("paged_records")``: one partition, as the API asks for paced requests.
 
-    Options: ``folder`` (an offline stand-in with page files ``<start>.json``), ``startRecord``. The default answers come from these files.
+    Options: ``startRecord``, and where pages come from: ``getter`` (``module:function``, importable by the executors, from a query to an answer, such
+    as an HTTP client of the caller's), or ``folder`` with page files ``<start>.json`` that every executor can read. ``pause`` in seconds between pages.
     """
 
     @classmethod
@@ -145,13 +165,18 @@ class PagedReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        folder = Path(self.options["folder"])
+        pause = float(self.options.get("pause", PAUSE if "getter" in self.options else 0))
+        if "getter" in self.options:
+            module, _, name = self.options["getter"].partition(":")
+            get = getattr(importlib.import_module(module), name)
+        else:
+            folder = Path(self.options["folder"])
 
-        def get(query: dict) -> dict:
-            return json.loads((folder / f"{query['startRecord']}.json").read_text(encoding="utf-8"))
+            def get(query: dict) -> dict:
+                return json.loads((folder / f"{query['startRecord']}.json").read_text(encoding="utf-8"))
 
         names = RAW.names
-        for record in pages(get, {"from": self.options.get("from", "*")}, int(self.options.get("startrecord", 1)), pause=0, sleep=lambda _: None):
+        for record in pages(get, {"from": self.options.get("from", "*")}, int(self.options.get("startrecord", 1)), pause=pause):
             yield tuple(Row(**{n: record.get(n) for n in names}))
 
 
@@ -177,6 +202,18 @@ def resume_month(get: Callable[[dict], dict], query: dict, path: Path, sleep: Ca
     return "recovered" if held else "done"
 
 
+def resume_months(get: Callable[[dict], dict], queries: dict[str, dict], folder: Path, sleep: Callable[[float], None] = time.sleep) -> list[tuple[str, str]]:
+    """(month, state) of several months in order. A month that fails is noted as ``failed: reason`` and the others go on; its part stays for the next run."""
+    out = []
+    for month, query in sorted(queries.items()):
+        try:
+            state = resume_month(get, query, folder / f"{month}.ndjson", sleep)
+        except (OSError, ValueError) as error:
+            state = f"failed: {error}"
+        out.append((month, state))
+    return out
+
+
 def ingest_status(folder: Path, months: list[str]) -> list[tuple[str, str, int]]:
     """(month, state, lines) of what has been fetched."""
     out = []
