@@ -563,7 +563,6 @@ SELECT a.politician_id, first(a.party ORDER BY a.id) FILTER (a.party IS NOT NULL
 }
 
 _NOTED = ", ".join(f"({t['id']}, '{t['term']}', '{t['category']}', [{', '.join(repr(v) for v in t['variants'])}]::VARCHAR[])" for t in TOPICS)
-_AXIS = "axis AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS k FROM (SELECT strftime(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM members))"
 ORACLES |= {
     "front_page": f"""
         WITH t AS (SELECT v.term, CAST(x.n_speeches AS DOUBLE) AS value, 0 AS r FROM ({ORACLES['topic_totals']}) x JOIN (VALUES {_NOTED}) v(id, term, category, variants) ON v.id = x.topic_id),
