@@ -100,7 +100,31 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p9_spans": p9_spans, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_matches": p4_matches, "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_placed": p7_placed, "p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
+def p4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the matches those whose speaker has exactly the name and reading of one politician who shares neither: they can be told by SQL."""
+    p = table(spark, sf_dir, "politician").select("id", "name", "name_kana")
+    only = p.join(p.groupBy("name").count().where("count = 1").select("name"), "name", "left_semi").join(p.groupBy("name_kana").count().where("count = 1").select("name_kana"), "name_kana", "left_semi")
+    said = table(spark, sf_dir, "speech").select("row_id", F.col("speaker").alias("name"), F.col("speaker_yomi").alias("name_kana"))
+    return p4_matches(spark, sf_dir).join(said.join(only, ["name", "name_kana"]).select("row_id"), "row_id", "left_semi").select("row_id", "politician_id")
+
+
+#: Characters that are never in house form, wherever they stand.
+_NEVER = "[A-Za-z0-9ｦ-ﾟ 豈-﫿]"
+
+
+def p5_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the departing values those that a pattern of single characters tells."""
+    texts, readings = _texts_and_readings(spark, sf_dir)
+    told = texts.unionByName(readings).where(F.col("value").rlike(_NEVER)).select("tbl", "field", "rec_id")
+    return p5_found(spark, sf_dir).join(told, ["tbl", "field", "rec_id"], "left_semi")
+
+
+def p9_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of what was found the addresses written plainly, which a pattern tells."""
+    return p9_found(spark, sf_dir).where("pii_kind = 'email'").where(F.col("pii_text").rlike("^[A-Za-z0-9._+@-]+$")).select("doc_id", "pii_text")
+
+
+QUERIES = {"p4_exact": p4_exact, "p5_width": p5_width, "p9_mail": p9_mail, "p9_spans": p9_spans, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_matches": p4_matches, "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_placed": p7_placed, "p8_passages": p8_passages, "p8_found": p8_found, "p8_clean": p8_clean, "p1_terms": p1_terms, "p1_found": p1_found, "p5_forms": p5_forms, "p5_found": p5_found, "p5_groups": p5_groups}
 
 _TERMS = """
 WITH latest AS (
@@ -112,6 +136,9 @@ WITH latest AS (
 SELECT term{counts}, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.1 * (SELECT count(*) FROM latest) THEN 'common' END AS mark FROM counted{only}"""
 
 ORACLES = {
+    "p4_exact": "SELECT DISTINCT s.row_id, CAST(p.id AS BIGINT) AS politician_id FROM speech s JOIN politician p ON p.name = s.speaker AND p.name_kana = s.speaker_yomi WHERE s.speaker_kind = '議員' AND s.politician_id IS NULL AND (SELECT count(*) FROM politician q WHERE q.name = p.name) = 1 AND (SELECT count(*) FROM politician q WHERE q.name_kana = p.name_kana) = 1",
+    "p5_width": " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{f}' AS field, CAST({i} AS BIGINT) AS rec_id FROM {t} WHERE regexp_matches({f}, '{_NEVER}')" for t, f, i in (("speech", "body", "row_id"), ("speech", "speaker_yomi", "row_id"), ("politician", "name_kana", "id"))),
+    "p9_mail": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:[.][A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+')) AS pii_text FROM documents",
     "p7_placed": "SELECT doc_id, count(*) AS copies, 0 AS faults FROM documents WHERE text IS NOT NULL GROUP BY doc_id",
     "p1_terms": _TERMS.format(counts=", occurrences, records", only=""),
     "p1_found": _TERMS.format(counts="", only=" WHERE records <= 2 OR records > 0.1 * (SELECT count(*) FROM latest)"),
