@@ -25,6 +25,7 @@ STOPWORDS = (
 ROLE_SUFFIXES = ("内閣総理大臣", "国務大臣", "副大臣", "政務官", "委員長", "参考人", "総理", "内閣", "政権", "大臣", "委員", "議員", "先生", "知事", "長官", "局長", "次官")
 ROLE_ENDINGS = ("議員", "委員", "大臣", "総理", "知事", "長官", "局長", "次官", "先生", "参考人", "政務官", "会長", "議長", "君", "氏")
 ROLE_CONTAINS = ("委員長", "国務大臣", "副大臣", "政務官", "政府参考人", "内閣官房長官", "内閣総理大臣", "会長", "副議長")
+# Patterns of years of an era, of numerals, and of quantities, which are no terms.
 ERA_YEAR = "(令和|平成)[一二三四五六七八九十元0-9]+年"
 NUMERALS_ONLY = "^[一二三四五六七八九十百千万零〇]+$"
 QUANTITY = "^[一二三四五六七八九十百千万零〇元].*[年月日円兆億万時分間]"
